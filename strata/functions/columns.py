@@ -1,0 +1,16 @@
+"""Typed literals used by empty scaffolds and placeholder projections."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
+
+def typed_null(type_name: str) -> Column:
+    """``CAST(NULL AS <type>)``."""
+    return F.lit(None).cast(type_name)
+
+
+def typed_literal(value, type_name: str) -> Column:
+    """``CAST(<value> AS <type>)``, e.g. ``lit(0).cast("bigint")``."""
+    return F.lit(value).cast(type_name)

@@ -1,0 +1,17 @@
+"""The always-empty stub stream: the right schema and never a row.
+
+A rate source projected to typed NULL columns under a constant-false filter.
+Catalyst folds the filter, so no data is ever generated downstream.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+
+from strata.schemas import struct
+
+
+def empty_stream(spark: SparkSession, ddl: str) -> DataFrame:
+    """Streaming DataFrame with the declared schema and no rows."""
+    casts = [f"CAST(NULL AS {f.dataType.simpleString().upper()}) AS {f.name}" for f in struct(ddl).fields]
+    return spark.readStream.format("rate").load().selectExpr(*casts).where("1 = 0")
