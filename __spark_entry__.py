@@ -9,11 +9,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from strata.operators.gates import gate_summary, run_verdict
 from strata.operators.rollup import customer_summary, customer_summary_as_written
 from strata.operators.preview import preview
 from strata.sources.tables import (
     bronze_customers_from_tables,
     bronze_orders_from_tables,
+    runs_from_events,
     urgent_orders_from_tables,
 )
 
@@ -42,6 +44,14 @@ def _silver_preview(spark: SparkSession, sf_dir: str) -> DataFrame:
     return preview(_silver(spark, sf_dir))
 
 
+def _run_gates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return gate_summary(runs_from_events(spark, sf_dir), ["event_type"])
+
+
+def _run_verdict(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return run_verdict(runs_from_events(spark, sf_dir), ["event_type"])
+
+
 def entry(spark: SparkSession) -> DataFrame:
     """Flagship: the silver customer summary on sf0.001."""
     return _silver(spark, SMOKE_DIR)
@@ -55,6 +65,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "silver_as_written": _silver_as_written,
         "silver_narrowed_orders": _silver_narrowed,
         "silver_preview": _silver_preview,
+        "run_gates": _run_gates,
+        "run_verdict": _run_verdict,
     }
 
 
@@ -101,6 +113,72 @@ FROM bronze_customers c LEFT JOIN {orders_cte} o ON c.id = o.customer_id
 GROUP BY c.id, c.name, c.region"""
 
 
+_RUNS = """
+runs AS (
+  SELECT event_id AS cycle, event_type,
+         CASE WHEN user_id % 10 <> 0 THEN 'pass' ELSE 'fail' END AS outcome,
+         value AS reset_duration, value * 10 AS total_e2e_duration
+  FROM events
+),
+stacked AS (
+  SELECT event_type, 'm1' AS metric, CAST(reset_duration AS DOUBLE) AS duration, 120.0 AS lim
+  FROM runs WHERE outcome = 'pass'
+  UNION ALL
+  SELECT event_type, 'm2' AS metric, CAST(total_e2e_duration AS DOUBLE) AS duration, 1500.0 AS lim
+  FROM runs WHERE outcome = 'pass'
+),
+frame AS (
+  SELECT g.event_type, m.metric
+  FROM (SELECT DISTINCT event_type FROM runs) g, (VALUES ('m1'), ('m2')) m(metric)
+),
+agg AS (
+  SELECT event_type, metric, min(duration) AS mn, max(duration) AS mx,
+         count(*) FILTER (WHERE duration < lim) AS under_limit, count(*) AS passed_runs
+  FROM stacked GROUP BY event_type, metric
+),
+ranked AS (
+  SELECT event_type, metric, duration,
+         row_number() OVER (PARTITION BY event_type, metric ORDER BY duration) - 1 AS rn,
+         count(*) OVER (PARTITION BY event_type, metric) AS n
+  FROM stacked
+),
+med AS (
+  SELECT event_type, metric, avg(duration) AS p50
+  FROM ranked WHERE rn = (n - 1) // 2 OR rn = n // 2
+  GROUP BY event_type, metric
+),
+gates AS (
+  SELECT f.event_type, f.metric,
+         coalesce(a.mn, 0.0) AS min, coalesce(a.mx, 0.0) AS max, coalesce(m.p50, 0.0) AS p50,
+         coalesce(a.under_limit, 0) AS under_limit, coalesce(a.passed_runs, 0) AS passed_runs,
+         (coalesce(a.under_limit, 0) = coalesce(a.passed_runs, 0) AND coalesce(a.passed_runs, 0) > 0)
+           AS all_pass
+  FROM frame f
+  LEFT JOIN agg a ON f.event_type IS NOT DISTINCT FROM a.event_type AND f.metric = a.metric
+  LEFT JOIN med m ON f.event_type IS NOT DISTINCT FROM m.event_type AND f.metric = m.metric
+)"""
+
+_VERDICT = """
+SELECT c.event_type, c.cycles, c.cycles_passed, c.cycles - c.cycles_passed AS flakes,
+       g.m1_all_pass, g.m2_all_pass,
+       (blockers = '' AND c.cycles_passed = c.cycles) AS ready,
+       CASE WHEN blockers = '' AND c.cycles_passed = c.cycles THEN 'READY' ELSE 'NOT READY' END
+         AS verdict,
+       blockers
+FROM (SELECT event_type, count(*) AS cycles, count(*) FILTER (WHERE outcome = 'pass') AS cycles_passed
+      FROM runs GROUP BY event_type) c
+LEFT JOIN (SELECT event_type,
+                  bool_and(CASE WHEN metric = 'm1' THEN all_pass END) AS m1_all_pass,
+                  bool_and(CASE WHEN metric = 'm2' THEN all_pass END) AS m2_all_pass
+           FROM gates GROUP BY event_type) g
+  ON c.event_type IS NOT DISTINCT FROM g.event_type,
+LATERAL (SELECT concat_ws('; ',
+           CASE WHEN c.cycles - c.cycles_passed > 0
+                THEN CAST(c.cycles - c.cycles_passed AS VARCHAR) || ' flake(s) detected' END,
+           CASE WHEN NOT g.m1_all_pass THEN 'm1 gate failed' END,
+           CASE WHEN NOT g.m2_all_pass THEN 'm2 gate failed' END) AS blockers) b"""
+
+
 def oracle_sql() -> dict[str, str]:
     silver = f"WITH {_BRONZE_CUSTOMERS}, {_BRONZE_ORDERS} {_silver_sql('bronze_orders')}"
     return {
@@ -112,4 +190,6 @@ def oracle_sql() -> dict[str, str]:
             f"WITH {_BRONZE_CUSTOMERS}, {_URGENT_ORDERS} {_silver_sql('urgent_orders')}"
         ),
         "silver_preview": f"SELECT * FROM ({silver}) s ORDER BY id LIMIT 10",
+        "run_gates": f"WITH {_RUNS} SELECT * FROM gates",
+        "run_verdict": f"WITH {_RUNS} {_VERDICT}",
     }

@@ -8,6 +8,7 @@ from strata.functions.money import (
     money_to_double,
 )
 from strata.functions.columns import typed_null, typed_literal
+from strata.functions.dates import iso_date_is_exact, iso_date_or_fail, iso_text
 
 __all__ = [
     "AMOUNT_TYPE",
@@ -17,4 +18,7 @@ __all__ = [
     "money_to_double",
     "typed_null",
     "typed_literal",
+    "iso_date_is_exact",
+    "iso_date_or_fail",
+    "iso_text",
 ]

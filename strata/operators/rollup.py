@@ -18,7 +18,10 @@ specification states it. It shuffles every order row and is kept for
 comparison and for plans that must follow the written form.
 
 Money is summed as DECIMAL(18,2) and cast to DOUBLE once, so totals do not
-depend on row order. A non-numeric amount fails the refresh under ANSI.
+depend on row order. A non-numeric amount fails the refresh under ANSI. The
+latest order date is taken on DATE values (hash aggregate, fixed-width
+buffer); a date that is not exact ISO text fails the refresh, so the result
+always equals the string maximum of the specification.
 """
 
 from __future__ import annotations
@@ -26,6 +29,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from strata.functions.dates import iso_date_or_fail, iso_text
 from strata.functions.money import amount_value, money_to_double
 
 _KEYS = ["id", "name", "region"]
@@ -39,7 +43,7 @@ def per_customer_orders(orders: DataFrame) -> DataFrame:
         .agg(
             F.count("order_id").alias("_orders"),
             F.sum(amount_value("amount")).alias("_amount"),
-            F.max("order_date").alias("_last"),
+            F.max(iso_date_or_fail("order_date")).alias("_last"),
         )
     )
 
@@ -58,7 +62,7 @@ def customer_summary(customers: DataFrame, orders: DataFrame) -> DataFrame:
         "region",
         (F.coalesce(F.col("_orders"), F.lit(0)) * copies).cast("bigint").alias("total_orders"),
         money_to_double(F.col("_amount") * copies).alias("total_amount"),
-        F.col("_last").alias("last_order_date"),
+        iso_text(F.col("_last")).alias("last_order_date"),
     )
 
 

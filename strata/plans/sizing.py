@@ -1,0 +1,20 @@
+"""Broadcast only behind a size check.
+
+A side is broadcast when its row count, measured on the (already reduced)
+DataFrame, is under a bound; past the bound the planner is left to shuffle.
+Bounds are in rows of narrow, fixed-width records, so the bytes are bounded too.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+# Fixed value: most rows of a narrow state table that may be broadcast
+# (a few dozen bytes each, so well under a hundred megabytes).
+MAX_BROADCAST_ROWS = 1_000_000
+
+
+def broadcast_if_small(df: DataFrame, rows: int, max_rows: int = MAX_BROADCAST_ROWS) -> DataFrame:
+    """``broadcast(df)`` when ``rows`` (its counted size) is within bound, else ``df``."""
+    return F.broadcast(df) if rows <= max_rows else df
