@@ -10,6 +10,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from strata.operators.gates import gate_summary, run_verdict
+from strata.plans.checks import acceptance_checks
+from strata.plans.pipeline import Namespace, run_update
+from strata.schemas import BRONZE_CUSTOMERS_DDL, BRONZE_ORDERS_DDL
+from strata.session import scratch_dir
+from strata.sources.landing import drops_glob, read_landing_stream, write_csv_drop
+from strata.streaming.ingest import ingest
 from strata.operators.rollup import customer_summary, customer_summary_as_written
 from strata.operators.preview import preview
 from strata.sources.tables import (
@@ -44,6 +50,12 @@ def _silver_preview(spark: SparkSession, sf_dir: str) -> DataFrame:
     return preview(_silver(spark, sf_dir))
 
 
+def _acceptance_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    customers = bronze_customers_from_tables(spark, sf_dir)
+    orders = bronze_orders_from_tables(spark, sf_dir)
+    return acceptance_checks(customers, orders, customer_summary(customers, orders))
+
+
 def _run_gates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return gate_summary(runs_from_events(spark, sf_dir), ["event_type"])
 
@@ -52,6 +64,67 @@ def _run_verdict(spark: SparkSession, sf_dir: str) -> DataFrame:
     return run_verdict(runs_from_events(spark, sf_dir), ["event_type"])
 
 
+# Split date of the two order drops: the first drop holds older orders, the
+# second the rest (including any without a date); together they are the table.
+DROP_SPLIT = "1995-01-01"
+
+
+def _land_orders(spark: SparkSession, sf_dir: str, landing: str) -> list[str]:
+    from pyspark.sql import functions as F
+
+    orders = bronze_orders_from_tables(spark, sf_dir)
+    older = F.col("order_date") < DROP_SPLIT
+    first, second = f"{landing}/drop-0001", f"{landing}/drop-0002"
+    write_csv_drop(orders.where(older), first)
+    write_csv_drop(orders.where(~older | F.col("order_date").isNull()), second)
+    return [first, second]
+
+
+def _orders_streamed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders landed as two CSV drops, ingested by two triggered runs."""
+    from pyspark.sql import functions as F
+
+    root = scratch_dir(spark, "orders-stream")
+    landing, sink, checkpoint = f"{root}/landing/orders", f"{root}/bronze_orders", f"{root}/checkpoint"
+    orders = bronze_orders_from_tables(spark, sf_dir)
+    older = F.col("order_date") < DROP_SPLIT
+    # First drop, first triggered run; then the second drop and a second run.
+    write_csv_drop(orders.where(older), f"{landing}/drop-0001")
+    ingest(read_landing_stream(spark, drops_glob(landing), BRONZE_ORDERS_DDL), checkpoint, path=sink)
+    write_csv_drop(orders.where(~older | F.col("order_date").isNull()), f"{landing}/drop-0002")
+    ingest(read_landing_stream(spark, drops_glob(landing), BRONZE_ORDERS_DDL), checkpoint, path=sink)
+    return spark.read.parquet(sink)
+
+
+def _customers_streamed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    root = scratch_dir(spark, "customers-stream")
+    landing, sink = f"{root}/landing/customers", f"{root}/bronze_customers"
+    write_csv_drop(bronze_customers_from_tables(spark, sf_dir), f"{landing}/drop-0001")
+    ingest(
+        read_landing_stream(spark, drops_glob(landing), BRONZE_CUSTOMERS_DDL),
+        f"{root}/checkpoint",
+        path=sink,
+    )
+    return spark.read.parquet(sink)
+
+
+def _pipeline_end_to_end(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Land both datasets as CSV, run one pipeline update, read silver back."""
+    root = scratch_dir(spark, "pipeline")
+    customers_landing, orders_landing = f"{root}/landing/customers", f"{root}/landing/orders"
+    write_csv_drop(bronze_customers_from_tables(spark, sf_dir), f"{customers_landing}/drop-0001")
+    _land_orders(spark, sf_dir, orders_landing)
+    ns = Namespace(schema="strata_" + root.rsplit("-", 1)[-1])
+    return run_update(
+        spark,
+        drops_glob(customers_landing),
+        drops_glob(orders_landing),
+        ns,
+        f"{root}/checkpoints",
+        location=f"{root}/warehouse",
+    )
+
+
 def entry(spark: SparkSession) -> DataFrame:
     """Flagship: the silver customer summary on sf0.001."""
     return _silver(spark, SMOKE_DIR)
@@ -65,6 +138,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "silver_as_written": _silver_as_written,
         "silver_narrowed_orders": _silver_narrowed,
         "silver_preview": _silver_preview,
+        "acceptance_checks": _acceptance_checks,
+        "bronze_orders_streamed": _orders_streamed,
+        "bronze_customers_streamed": _customers_streamed,
+        "pipeline_end_to_end": _pipeline_end_to_end,
         "run_gates": _run_gates,
         "run_verdict": _run_verdict,
     }
@@ -179,6 +256,68 @@ LATERAL (SELECT concat_ws('; ',
            CASE WHEN NOT g.m2_all_pass THEN 'm2 gate failed' END) AS blockers) b"""
 
 
+_CHECKS = """
+per_id AS (SELECT id, count(*) AS copies FROM bronze_customers GROUP BY id),
+cust AS (
+  SELECT CAST(coalesce(sum(copies), 0) AS BIGINT) AS c_rows,
+         count(id) AS c_distinct_ids,
+         count(*) FILTER (WHERE id IS NOT NULL AND copies > 1) AS c_duplicate_ids,
+         CAST(coalesce(sum(CASE WHEN id IS NULL THEN copies END), 0) AS BIGINT) AS c_null_ids
+  FROM per_id
+),
+ords AS (
+  SELECT count(*) AS o_rows,
+         count(*) FILTER (WHERE customer_id IS NULL) AS o_null_customer,
+         count(*) FILTER (WHERE amount IS NOT NULL AND TRY_CAST(amount AS DECIMAL(38,10)) IS NULL)
+           AS o_bad_amounts,
+         count(*) FILTER (WHERE TRY_CAST(amount AS DECIMAL(38,10)) IS NOT NULL
+                            AND TRY_CAST(amount AS DECIMAL(38,10))
+                                <> CAST(TRY_CAST(amount AS DECIMAL(38,10)) AS DECIMAL(18,2)))
+           AS o_rounded_amounts,
+         count(*) FILTER (WHERE order_date IS NOT NULL
+                            AND NOT coalesce(CAST(TRY_CAST(order_date AS DATE) AS VARCHAR) = order_date, false))
+           AS o_non_iso_dates
+  FROM bronze_orders
+),
+orphans AS (
+  SELECT CAST(coalesce(sum(n), 0) AS BIGINT) AS orphan_orders
+  FROM (SELECT customer_id, count(*) AS n FROM bronze_orders
+        WHERE customer_id IS NOT NULL GROUP BY customer_id) p
+  WHERE NOT EXISTS (SELECT 1 FROM bronze_customers c WHERE c.id = p.customer_id)
+),
+sil AS (
+  SELECT count(*) AS s_rows, CAST(coalesce(sum(total_orders), 0) AS BIGINT) AS s_orders_rolled_up
+  FROM silver
+),
+facts AS (SELECT * FROM cust, ords, orphans, sil)"""
+
+
+def _check_rows() -> str:
+    rows = [
+        ("bronze_customers_nonempty", "c_rows", None, "c_rows > 0"),
+        ("bronze_orders_nonempty", "o_rows", None, "o_rows > 0"),
+        ("silver_nonempty", "s_rows", None, "s_rows > 0"),
+        ("silver_rows_equal_distinct_customers", "s_rows", "c_distinct_ids", None),
+        ("duplicate_customer_ids", "c_duplicate_ids", "0", None),
+        ("null_customer_ids", "c_null_ids", "0", None),
+        ("orders_without_customer_id", "o_null_customer", "0", None),
+        ("orphan_orders", "orphan_orders", "0", None),
+        ("bad_amounts", "o_bad_amounts", "0", None),
+        ("rounded_amounts", "o_rounded_amounts", "0", None),
+        ("non_iso_order_dates", "o_non_iso_dates", "0", None),
+        ("orders_rolled_up_plus_unmatched", "s_orders_rolled_up + orphan_orders + o_null_customer", "o_rows", None),
+    ]
+    parts = []
+    for name, observed, target, passed in rows:
+        t = "CAST(NULL AS BIGINT)" if target is None else f"CAST({target} AS BIGINT)"
+        p = passed if passed is not None else f"CAST({observed} AS BIGINT) = {t}"
+        parts.append(
+            f"SELECT '{name}' AS \"check\", CAST({observed} AS BIGINT) AS observed, {t} AS target, "
+            f"{p} AS passed FROM facts"
+        )
+    return "\nUNION ALL\n".join(parts)
+
+
 def oracle_sql() -> dict[str, str]:
     silver = f"WITH {_BRONZE_CUSTOMERS}, {_BRONZE_ORDERS} {_silver_sql('bronze_orders')}"
     return {
@@ -190,6 +329,13 @@ def oracle_sql() -> dict[str, str]:
             f"WITH {_BRONZE_CUSTOMERS}, {_URGENT_ORDERS} {_silver_sql('urgent_orders')}"
         ),
         "silver_preview": f"SELECT * FROM ({silver}) s ORDER BY id LIMIT 10",
+        "acceptance_checks": (
+            f"WITH {_BRONZE_CUSTOMERS}, {_BRONZE_ORDERS}, silver AS ({_silver_sql('bronze_orders')}),"
+            f" {_CHECKS} {_check_rows()}"
+        ),
+        "bronze_orders_streamed": f"WITH {_BRONZE_ORDERS} SELECT * FROM bronze_orders",
+        "bronze_customers_streamed": f"WITH {_BRONZE_CUSTOMERS} SELECT * FROM bronze_customers",
+        "pipeline_end_to_end": silver,
         "run_gates": f"WITH {_RUNS} SELECT * FROM gates",
         "run_verdict": f"WITH {_RUNS} {_VERDICT}",
     }

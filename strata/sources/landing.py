@@ -53,3 +53,16 @@ def read_landing_stream(
         .schema(struct(ddl))
         .load(path)
     )
+
+
+def write_csv_drop(df: DataFrame, folder: str) -> None:
+    """Land ``df`` as one CSV drop (a new folder of part files with headers).
+
+    Drops are never rewritten: a file source skips a path it has seen.
+    """
+    df.write.mode("errorifexists").option("header", "true").csv(folder)
+
+
+def drops_glob(landing: str) -> str:
+    """All drop folders of one dataset's landing directory."""
+    return f"{landing.rstrip('/')}/*"
