@@ -18,6 +18,7 @@ from strata.sources.landing import drops_glob, read_landing_stream, write_csv_dr
 from strata.streaming.ingest import ingest
 from strata.operators.rollup import customer_summary, customer_summary_as_written
 from strata.operators.preview import preview
+from strata.operators.scaffold import silver_scaffold
 from strata.sources.tables import (
     bronze_customers_from_tables,
     bronze_orders_from_tables,
@@ -125,6 +126,10 @@ def _pipeline_end_to_end(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def _silver_scaffold(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return silver_scaffold(bronze_customers_from_tables(spark, sf_dir))
+
+
 def entry(spark: SparkSession) -> DataFrame:
     """Flagship: the silver customer summary on sf0.001."""
     return _silver(spark, SMOKE_DIR)
@@ -138,6 +143,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "silver_as_written": _silver_as_written,
         "silver_narrowed_orders": _silver_narrowed,
         "silver_preview": _silver_preview,
+        "silver_scaffold": _silver_scaffold,
         "acceptance_checks": _acceptance_checks,
         "bronze_orders_streamed": _orders_streamed,
         "bronze_customers_streamed": _customers_streamed,
@@ -333,6 +339,11 @@ def oracle_sql() -> dict[str, str]:
             f"WITH {_BRONZE_CUSTOMERS}, {_BRONZE_ORDERS}, silver AS ({_silver_sql('bronze_orders')}),"
             f" {_CHECKS} {_check_rows()}"
         ),
+        "silver_scaffold": (
+            f"WITH {_BRONZE_CUSTOMERS} SELECT id, name, region, CAST(0 AS BIGINT) AS total_orders,"
+            " CAST(0.0 AS DOUBLE) AS total_amount, signup_date AS last_order_date"
+            " FROM bronze_customers LIMIT 0"
+        ),
         "bronze_orders_streamed": f"WITH {_BRONZE_ORDERS} SELECT * FROM bronze_orders",
         "bronze_customers_streamed": f"WITH {_BRONZE_CUSTOMERS} SELECT * FROM bronze_customers",
         "pipeline_end_to_end": silver,

@@ -1,0 +1,131 @@
+import io
+from contextlib import redirect_stdout
+
+import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
+from pyspark.errors import AnalysisException
+from pyspark.sql import functions as F
+
+from strata.operators.rollup import customer_summary, customer_summary_as_written
+from strata.schemas import SILVER_SUMMARY_DDL, struct
+from tests.fixtures import EXPECTED_SILVER, frames
+
+BOTH = [customer_summary, customer_summary_as_written]
+
+
+def rows(df):
+    return {tuple(r) for r in df.collect()}
+
+
+@pytest.mark.parametrize("build", BOTH)
+def test_golden_rows(spark, build):
+    customers, orders = frames(spark)
+    out = build(customers, orders)
+    assert out.schema.simpleString() == struct(SILVER_SUMMARY_DDL).simpleString()
+    assert rows(out) == EXPECTED_SILVER
+
+
+@pytest.mark.parametrize("build", BOTH)
+def test_customer_without_orders(spark, build):
+    customers, orders = frames(spark, ["9,Solo,EU,2024-01-01"], [])
+    assert rows(build(customers, orders)) == {("9", "Solo", "EU", 0, None, None)}
+
+
+@pytest.mark.parametrize("build", BOTH)
+def test_duplicate_customer_row_counts_each_copy(spark, build):
+    customers, orders = frames(
+        spark, ["7,Twin,EU,2024-01-01", "7,Twin,EU,2024-01-01"], ["1,7,5.00,2024-02-02"]
+    )
+    assert rows(build(customers, orders)) == {("7", "Twin", "EU", 2, 10.0, "2024-02-02")}
+
+
+@pytest.mark.parametrize("build", BOTH)
+def test_null_customer_id_gives_one_row_without_orders(spark, build):
+    customers, orders = frames(spark, [",Nobody,NA,2024-01-01"], ["1,,5.00,2024-02-02"])
+    assert rows(build(customers, orders)) == {(None, "Nobody", "NA", 0, None, None)}
+
+
+@pytest.mark.parametrize("build", BOTH)
+def test_bad_amount_fails_the_refresh(spark, build):
+    customers, orders = frames(spark, ["1,A,EU,2024-01-01"], ["1,1,oops,2024-02-02"])
+    with pytest.raises(Exception, match="CAST_INVALID_INPUT"):
+        build(customers, orders).collect()
+
+
+def test_three_digit_amount_rounds_half_up(spark):
+    customers, orders = frames(spark, ["1,A,EU,2024-01-01"], ["1,1,1.005,2024-02-02"])
+    assert rows(customer_summary(customers, orders)) == {("1", "A", "EU", 1, 1.01, "2024-02-02")}
+
+
+def test_non_iso_date_fails_instead_of_wrong_max(spark):
+    customers, orders = frames(spark, ["1,A,EU,2024-01-01"], ["1,1,1.00,2024-2-02"])
+    with pytest.raises(Exception, match="yyyy-MM-dd"):
+        customer_summary(customers, orders).collect()
+
+
+def test_misnamed_join_column_is_an_analysis_error_with_suggestion(spark):
+    customers, orders = frames(spark)
+    with pytest.raises(AnalysisException) as err:
+        customers.join(orders, customers.id == orders["customerid"], "left")
+    assert "customer_id" in str(err.value)
+    assert "UNRESOLVED_COLUMN" in str(err.value) or "CANNOT_RESOLVE" in str(err.value)
+
+
+def _plan(df) -> str:
+    buf = io.StringIO()
+    with redirect_stdout(buf):
+        df.explain("formatted")
+    return buf.getvalue()
+
+
+def test_plan_aggregates_orders_before_the_join_with_hash_aggregates(spark):
+    customers, orders = frames(spark)
+    plan = _plan(customer_summary(customers, orders))
+    assert "SortAggregate" not in plan
+    assert "partial_count(order_id" in plan
+    assert plan.index("partial_count(order_id") > plan.index("Join")  # aggregate sits under the join
+
+
+def test_plan_prunes_scan_columns(spark):
+    import __spark_entry__ as entry
+
+    plan = _plan(entry.queries()["silver_customer_summary"](spark, "/root/testdata/sf0.001"))
+    assert "ReadSchema: struct<o_orderkey:bigint,o_custkey:bigint,o_totalprice:double,o_orderdate" in plan
+    assert "o_orderstatus" not in plan
+    assert "c_acctbal" not in plan
+
+
+ids = st.sampled_from(["1", "2", "3", "4", None])
+customer_rows = st.lists(
+    st.tuples(ids, st.sampled_from(["A", "B"]), st.sampled_from(["EU", "NA"])), max_size=8
+)
+order_rows = st.lists(
+    st.tuples(
+        ids,
+        st.one_of(st.none(), st.decimals(min_value=0, max_value=9999, places=2).map(str)),
+        st.one_of(st.none(), st.dates().map(lambda d: d.isoformat())),
+    ),
+    max_size=12,
+)
+
+
+@settings(max_examples=15, deadline=None)
+@given(customer_rows, order_rows)
+def test_both_plans_agree(spark, cust, ords):
+    customers = spark.createDataFrame(
+        [(i, n, r, "2024-01-01") for i, n, r in cust], struct("id STRING, name STRING, region STRING, signup_date STRING")
+    )
+    orders = spark.createDataFrame(
+        [(str(k), c, a, d) for k, (c, a, d) in enumerate(ords)],
+        struct("order_id STRING, customer_id STRING, amount STRING, order_date STRING"),
+    )
+    a = customer_summary(customers, orders)
+    b = customer_summary_as_written(customers, orders)
+    assert a.exceptAll(b).count() == 0 and b.exceptAll(a).count() == 0
+    # Property: with unique ids, rolled-up orders + unmatched orders = all orders.
+    if len({i for i, _, _ in cust if i is not None}) == len([i for i, _, _ in cust if i is not None]):
+        known = {i for i, _, _ in cust if i is not None}
+        unmatched = sum(1 for c, _, _ in ords if c not in known)
+        total = a.agg(F.coalesce(F.sum("total_orders"), F.lit(0))).first()[0]
+        assert total + unmatched == len(ords)
