@@ -2,11 +2,13 @@
 
 Spark's exact ``percentile`` merges every distinct value of a group in one
 task; a group holding a third of all rows would sit in one task's memory.
-This operator is a radix select over an order-preserving 64-bit key of the
+Groups are counted first; small groups (a proven bound) are sorted in one
+task each, and past the bound the operator is a radix select over an order-preserving 64-bit key of the
 value, expressed as plain aggregations:
 
-1. ``n`` per group; the target ranks are ``(n-1) div 2`` and ``n div 2``.
-2. Up to four rounds, 16 bits each. A round keeps the rows whose higher
+1. A histogram of the top 16 bits per group (no state needed) also gives
+   ``n``; the target ranks are ``(n-1) div 2`` and ``n div 2``.
+2. Up to four rounds, 16 bits each. A later round keeps the rows whose higher
    bits match the prefix chosen so far for their group, counts them per
    16-bit digit (at most 65,536 histogram rows per group and target, built
    with map-side partial aggregation), and a cumulative count over that
@@ -37,6 +39,8 @@ from strata.plans.sizing import MAX_BROADCAST_ROWS
 _DIGIT_BITS = 16
 _ROUNDS = 64 // _DIGIT_BITS
 _DIGIT_MASK = (1 << _DIGIT_BITS) - 1
+# Fixed value: largest group whose values may be sorted in one task (8 MB of doubles).
+SMALL_GROUP_ROWS = 1_000_000
 # Fixed value: target rows per task for a salted (hot) group.
 ROWS_PER_SALT = 20_000_000
 MAX_SALTS = 4096
@@ -60,22 +64,74 @@ def _same(cols: list[str], left: str, right: str) -> Column:
     )
 
 
+def _pick(hist: DataFrame, keys: list[str], first: bool, last: bool) -> DataFrame:
+    """From a histogram with target ranks, the digit that holds each rank."""
+    w = Window.partitionBy(*keys, "_t").orderBy("_digit").rowsBetween(
+        Window.unboundedPreceding, Window.currentRow
+    )
+    before = F.col("_cum") - F.col("_c")
+    prefix = (
+        F.col("_digit")
+        if first
+        else F.shiftleft(F.col("_prefix"), _DIGIT_BITS).bitwiseOR(F.col("_digit"))
+    )
+    return (
+        hist.withColumn("_cum", F.sum("_c").over(w))
+        .where((before <= F.col("_rank")) & (F.col("_rank") < F.col("_cum")))
+        .select(
+            *keys,
+            "_t",
+            (F.col("_rank") - before).alias("_rank"),
+            prefix.alias("_prefix"),
+            F.col("_vmin").alias("_value"),
+            # One value in the digit (or the last digit): the target is found.
+            ((F.col("_vmin") == F.col("_vmax")) | F.lit(last)).alias("_done"),
+        )
+    )
+
+
+def _digit_stats(df: DataFrame, group: list[str], digit: Column) -> DataFrame:
+    return df.groupBy(*group, digit.alias("_digit")).agg(
+        F.count(F.lit(1)).alias("_c"), F.min("_v").alias("_vmin"), F.max("_v").alias("_vmax")
+    )
+
+
+def _middle(sorted_values: Column, n: Column) -> Column:
+    """Median of a sorted array: the middle value, or the mean of the two."""
+    lo = F.element_at(sorted_values, (F.floor((n - 1) / 2) + 1).cast("int"))
+    hi = F.element_at(sorted_values, (F.floor(n / 2) + 1).cast("int"))
+    return F.when(n % 2 == 1, lo).otherwise((lo + hi) / 2)
+
+
 def exact_median(df: DataFrame, keys: list[str], value: str, alias: str = "median") -> DataFrame:
     """One row per group of ``keys`` that has a non-null value: ``keys + [alias]``.
 
-    Runs eagerly, round by round: the per-group counts and each round's
-    small state (two rows per group) are cached, and a round stops early for
-    targets whose chosen digit holds a single value. The returned frame is
-    cached and small (one row per group).
+    The group sizes are counted first. When the largest group has at most
+    ``SMALL_GROUP_ROWS`` values, each group's values are sorted in one task
+    (a proven bound: a few megabytes). Otherwise the radix select runs.
+    """
+    values = df.select(*keys, _normalized(F.col(value)).alias("_v")).where(F.col("_v").isNotNull())
+    largest = values.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).agg(F.max("_n")).first()[0]
+    if largest is not None and largest <= SMALL_GROUP_ROWS:
+        return values.groupBy(*keys).agg(
+            _middle(F.sort_array(F.collect_list("_v")), F.count(F.lit(1))).alias(alias)
+        )
+    return radix_median(values, keys, alias)
+
+
+def radix_median(values: DataFrame, keys: list[str], alias: str = "median") -> DataFrame:
+    """The radix select over ``values(keys..., _v)``; no group sits in one task.
+
+    Runs eagerly, round by round. The first round needs no state: its
+    histogram of the top 16 bits also gives each group's count. Later rounds
+    meet the rows with the small per-group state; a target whose digit holds
+    one value stops early. The returned frame is cached and small.
     """
-    spark = df.sparkSession
-    base = (
-        df.select(*keys, _normalized(F.col(value)).alias("_v"))
-        .where(F.col("_v").isNotNull())
-        .withColumn("_key", order_key(F.col("_v")))
-        .persist(StorageLevel.MEMORY_AND_DISK)
+    base = values.withColumn("_key", order_key(F.col("_v"))).persist(StorageLevel.MEMORY_AND_DISK)
+    top = _digit_stats(base, keys, F.shiftright("_key", 64 - _DIGIT_BITS)).persist(
+        StorageLevel.MEMORY_AND_DISK
     )
-    counts = base.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).persist(StorageLevel.MEMORY_AND_DISK)
+    counts = top.groupBy(*keys).agg(F.sum("_c").alias("_n"))
     stats = counts.agg(F.count(F.lit(1)).alias("groups"), F.max("_n").alias("largest")).first()
     n_groups, largest = int(stats["groups"]), int(stats["largest"] or 0)
     broadcast = n_groups * 2 <= MAX_BROADCAST_ROWS
@@ -88,71 +144,49 @@ def exact_median(df: DataFrame, keys: list[str], value: str, alias: str = "media
             F.floor(F.col("_n") / 2).cast("bigint"),
         )
     )
-    state = counts.select(*keys, F.explode(ranks).alias("_t")).select(
-        *keys,
-        "_t",
-        F.col("_t").alias("_rank"),
-        F.lit(None).cast("bigint").alias("_prefix"),
-        F.lit(None).cast("double").alias("_value"),
-        F.lit(False).alias("_done"),
+    targets = counts.select(*keys, F.explode(ranks).alias("_t")).withColumn("_rank", F.col("_t"))
+    targets = (F.broadcast(targets) if broadcast else targets).alias("p")
+    first = top.alias("h").join(targets, _same(keys, "h", "p"), "inner").select(
+        *[F.col(f"h.{k}").alias(k) for k in keys], "p._t", "p._rank", "h._digit", "h._c", "h._vmin", "h._vmax"
     )
-    cached = [base, counts]
+    state = _pick(first, keys, first=True, last=False).persist(StorageLevel.MEMORY_AND_DISK)
+    cached = [base, top, state]
 
     rows = base
     if salts > 1:
         rows = base.withColumn("_salt", F.floor(F.rand(17) * salts).cast("int"))
     rows = rows.alias("r")
 
-    for r in range(_ROUNDS):
+    for r in range(1, _ROUNDS):
+        if state.where(~F.col("_done")).isEmpty():
+            break
         shift = 64 - _DIGIT_BITS * (r + 1)
         active = state.where(~F.col("_done"))
         if salts > 1:
             active = active.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
         probe = (F.broadcast(active) if broadcast else active).alias("p")
-        joined = rows.join(probe, _same(join_keys, "r", "p"), "inner").select(
-            *[F.col(f"r.{k}").alias(k) for k in keys],
-            F.col("r._v").alias("_v"),
-            F.col("r._key").alias("_key"),
-            F.col("p._t").alias("_t"),
-            F.col("p._rank").alias("_rank"),
-            F.col("p._prefix").alias("_prefix"),
-        )
-        if r > 0:
-            joined = joined.where(F.shiftright("_key", shift + _DIGIT_BITS) == F.col("_prefix"))
-        digit = F.shiftright("_key", shift)
-        if r > 0:
-            digit = digit.bitwiseAND(F.lit(_DIGIT_MASK))
-        hist = joined.groupBy(*keys, "_t", "_rank", "_prefix", digit.alias("_digit")).agg(
-            F.count(F.lit(1)).alias("_c"), F.min("_v").alias("_vmin"), F.max("_v").alias("_vmax")
-        )
-        w = Window.partitionBy(*keys, "_t").orderBy("_digit").rowsBetween(
-            Window.unboundedPreceding, Window.currentRow
-        )
-        before = F.col("_cum") - F.col("_c")
-        new_prefix = (
-            F.col("_digit")
-            if r == 0
-            else F.shiftleft(F.col("_prefix"), _DIGIT_BITS).bitwiseOR(F.col("_digit"))
-        )
-        advanced = (
-            hist.withColumn("_cum", F.sum("_c").over(w))
-            .where((before <= F.col("_rank")) & (F.col("_rank") < F.col("_cum")))
+        joined = (
+            rows.join(probe, _same(join_keys, "r", "p"), "inner")
+            .where(F.shiftright(F.col("r._key"), shift + _DIGIT_BITS) == F.col("p._prefix"))
             .select(
-                *keys,
-                "_t",
-                (F.col("_rank") - before).alias("_rank"),
-                new_prefix.alias("_prefix"),
-                F.col("_vmin").alias("_value"),
-                # One value in the digit (or the last digit): the target is found.
-                ((F.col("_vmin") == F.col("_vmax")) | F.lit(r == _ROUNDS - 1)).alias("_done"),
+                *[F.col(f"r.{k}").alias(k) for k in keys],
+                F.col("r._v").alias("_v"),
+                F.col("r._key").alias("_key"),
+                F.col("p._t").alias("_t"),
+                F.col("p._rank").alias("_rank"),
+                F.col("p._prefix").alias("_prefix"),
             )
         )
+        digit = F.shiftright("_key", shift).bitwiseAND(F.lit(_DIGIT_MASK))
+        hist = _digit_stats(joined, keys + ["_t", "_rank", "_prefix"], digit)
+        advanced = _pick(hist, keys, first=False, last=r == _ROUNDS - 1)
         state = state.where(F.col("_done")).unionByName(advanced).persist(StorageLevel.MEMORY_AND_DISK)
         cached.append(state)
-        if state.where(~F.col("_done")).isEmpty():
-            break
 
-    result = state.groupBy(*keys).agg(F.avg("_value").alias(alias)).persist(StorageLevel.MEMORY_AND_DISK)
+    # One target: its value; two targets: their mean, (a + b) / 2.
+    result = state.groupBy(*keys).agg(
+        F.when(F.count(F.lit(1)) == 1, F.min("_value")).otherwise(F.sum("_value") / 2).alias(alias)
+    ).persist(StorageLevel.MEMORY_AND_DISK)
     result.count()
     for c in cached:
         c.unpersist()

@@ -38,12 +38,26 @@ def test_matches_python_median(spark, rows):
     _check(spark, rows)
 
 
+@settings(max_examples=8, deadline=None)
+@given(st.lists(st.tuples(st.sampled_from(["a", "b", None]), st.one_of(st.none(), values)), min_size=1, max_size=60))
+def test_radix_path_matches_python_median(spark, rows):
+    import pytest
+
+    with pytest.MonkeyPatch.context() as mp:
+        mp.setattr(M, "SMALL_GROUP_ROWS", 0)
+        _check(spark, rows)
+
+
 def test_salted_path_matches(spark, monkeypatch):
+    monkeypatch.setattr(M, "SMALL_GROUP_ROWS", 0)
     monkeypatch.setattr(M, "MAX_BROADCAST_ROWS", 0)
     monkeypatch.setattr(M, "ROWS_PER_SALT", 7)
     rows = [("hot", float(i % 13)) for i in range(200)] + [("cold", 2.5), ("cold", 4.5)]
     _check(spark, rows)
 
 
-def test_many_ties_and_one_value(spark):
-    _check(spark, [("t", 3.0)] * 50 + [("t", 4.0)] * 50 + [("one", -7.25)])
+def test_many_ties_and_one_value(spark, monkeypatch):
+    rows = [("t", 3.0)] * 50 + [("t", 4.0)] * 50 + [("one", -7.25)]
+    _check(spark, rows)
+    monkeypatch.setattr(M, "SMALL_GROUP_ROWS", 0)
+    _check(spark, rows)
