@@ -2,9 +2,9 @@
 
 ``acceptance_checks`` reports presence, row parity and key / value quality as
 ``(check, observed, target, passed)``. It is one Spark query: every input is
-reduced by a partial aggregate before it shuffles (customer ids once, orders
-once per customer), so a hot key costs one row per map task, and Spark reuses
-the shared exchanges.
+reduced by a partial aggregate before it shuffles (customers once per id,
+orders once per customer id), so a hot key costs one row per map task, and
+one full outer join of the two reduced sides finds every key fact.
 
 ``schema_contract`` compares a table's schema with its declared DDL;
 ``tables_exist`` asks the catalog; ``require_columns`` fails early with the
@@ -21,45 +21,58 @@ from strata.functions.money import amount_has_excess_scale, amount_is_bad
 from strata.schemas import struct
 
 
+def _facts(df: DataFrame, names: list[str]) -> DataFrame:
+    """One-row aggregate as long (fact, value) rows."""
+    return df.select(
+        F.inline(F.array(*[F.struct(F.lit(n).alias("fact"), F.col(n).cast("bigint").alias("value")) for n in names]))
+    )
+
+
 def acceptance_checks(customers: DataFrame, orders: DataFrame, silver: DataFrame) -> DataFrame:
-    """``(check STRING, observed BIGINT, target BIGINT, passed BOOLEAN)``, one row per check."""
+    """``(check STRING, observed BIGINT, target BIGINT, passed BOOLEAN)``, one row per check.
+
+    Customers are reduced to one row per id and orders to one row per
+    customer id (with their value checks) before the single full outer join
+    that finds orphans, duplicates and null keys; the silver facts come from
+    one aggregate. The facts are unioned and pivoted by one global aggregate.
+    """
     per_id = customers.groupBy("id").agg(F.count(F.lit(1)).alias("_copies"))
-    cust = per_id.agg(
-        F.coalesce(F.sum("_copies"), F.lit(0)).alias("rows"),
-        F.count("id").alias("distinct_ids"),
-        F.count_if(F.col("id").isNotNull() & (F.col("_copies") > 1)).alias("duplicate_ids"),
-        F.coalesce(F.sum(F.when(F.col("id").isNull(), F.col("_copies"))), F.lit(0)).alias("null_ids"),
+    per_customer = orders.groupBy("customer_id").agg(
+        F.count(F.lit(1)).alias("_n"),
+        F.count_if(amount_is_bad("amount")).alias("_bad"),
+        F.count_if(amount_has_excess_scale("amount")).alias("_rounded"),
+        F.count_if(
+            F.col("order_date").isNotNull() & ~F.coalesce(iso_date_is_exact("order_date"), F.lit(False))
+        ).alias("_non_iso"),
     )
-    ords = orders.agg(
-        F.count(F.lit(1)).alias("rows"),
-        F.count_if(F.col("customer_id").isNull()).alias("null_customer"),
-        F.count_if(amount_is_bad("amount")).alias("bad_amounts"),
-        F.count_if(amount_has_excess_scale("amount")).alias("rounded_amounts"),
-        F.count_if(F.col("order_date").isNotNull() & ~F.coalesce(iso_date_is_exact("order_date"), F.lit(False))).alias(
-            "non_iso_dates"
+    keyed = per_id.join(per_customer, per_id["id"] == per_customer["customer_id"], "full_outer")
+    is_customer = F.col("_copies").isNotNull()
+    is_order = F.col("_n").isNotNull()
+    key_facts = keyed.agg(
+        F.coalesce(F.sum("_copies"), F.lit(0)).alias("c_rows"),
+        F.count_if(is_customer & F.col("id").isNotNull()).alias("c_distinct_ids"),
+        F.count_if(is_customer & F.col("id").isNotNull() & (F.col("_copies") > 1)).alias("c_duplicate_ids"),
+        F.coalesce(F.sum(F.when(is_customer & F.col("id").isNull(), F.col("_copies"))), F.lit(0)).alias(
+            "c_null_ids"
         ),
+        F.coalesce(F.sum("_n"), F.lit(0)).alias("o_rows"),
+        F.coalesce(F.sum(F.when(is_order & F.col("customer_id").isNull(), F.col("_n"))), F.lit(0)).alias(
+            "o_null_customer"
+        ),
+        F.coalesce(
+            F.sum(F.when(is_order & ~is_customer & F.col("customer_id").isNotNull(), F.col("_n"))), F.lit(0)
+        ).alias("orphan_orders"),
+        F.coalesce(F.sum("_bad"), F.lit(0)).alias("o_bad_amounts"),
+        F.coalesce(F.sum("_rounded"), F.lit(0)).alias("o_rounded_amounts"),
+        F.coalesce(F.sum("_non_iso"), F.lit(0)).alias("o_non_iso_dates"),
     )
-    per_customer = (
-        orders.where(F.col("customer_id").isNotNull())
-        .groupBy("customer_id")
-        .agg(F.count(F.lit(1)).alias("_n"))
-    )
-    known = per_id.where(F.col("id").isNotNull()).select(F.col("id").alias("customer_id"))
-    orphans = per_customer.join(known, "customer_id", "left_anti").agg(
-        F.coalesce(F.sum("_n"), F.lit(0)).alias("orphan_orders")
-    )
-    sil = silver.agg(
-        F.count(F.lit(1)).alias("rows"),
-        F.coalesce(F.sum("total_orders"), F.lit(0)).alias("orders_rolled_up"),
-    )
-
-    one = F.lit(1)
-    facts = (
-        cust.select(one.alias("_k"), *[F.col(c).alias(f"c_{c}") for c in cust.columns])
-        .join(ords.select(one.alias("_k"), *[F.col(c).alias(f"o_{c}") for c in ords.columns]), "_k")
-        .join(orphans.select(one.alias("_k"), "orphan_orders"), "_k")
-        .join(sil.select(one.alias("_k"), *[F.col(c).alias(f"s_{c}") for c in sil.columns]), "_k")
+    silver_facts = silver.agg(
+        F.count(F.lit(1)).alias("s_rows"),
+        F.coalesce(F.sum("total_orders"), F.lit(0)).alias("s_orders_rolled_up"),
     )
+    long = _facts(key_facts, key_facts.columns).unionByName(_facts(silver_facts, silver_facts.columns))
+    names = key_facts.columns + silver_facts.columns
+    facts = long.agg(*[F.max(F.when(F.col("fact") == n, F.col("value"))).alias(n) for n in names])
 
     def check(name: str, observed, target=None, passed=None):
         observed = observed.cast("bigint")
