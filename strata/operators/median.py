@@ -3,8 +3,8 @@
 Spark's exact ``percentile`` merges every distinct value of a group in one
 task; a group holding a third of all rows would sit in one task's memory.
 Groups are counted first; small groups (a proven bound) are sorted in one
-task each, and past the bound the operator is a radix select over an order-preserving 64-bit key of the
-value, expressed as plain aggregations:
+task each. Past the bound the operator is a radix select over an
+order-preserving 64-bit key of the value, expressed as plain aggregations:
 
 1. A histogram of the top 16 bits per group (no state needed) also gives
    ``n``; the target ranks are ``(n-1) div 2`` and ``n div 2``.

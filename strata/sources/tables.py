@@ -55,13 +55,13 @@ def bronze_customers_from_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def bronze_orders_from_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``orders`` in the ``bronze_orders`` shape, all STRING.
+def _orders_shape(orders: DataFrame) -> DataFrame:
+    """Driver orders in the ``bronze_orders`` shape, all STRING.
 
     The amount goes through DECIMAL(18,2) so its text form has two digits
     after the point, as in the landing CSVs.
     """
-    return load(spark, sf_dir, "orders").select(
+    return orders.select(
         F.col("o_orderkey").cast("string").alias("order_id"),
         F.col("o_custkey").cast("string").alias("customer_id"),
         F.col("o_totalprice").cast(AMOUNT_TYPE).cast("string").alias("amount"),
@@ -69,19 +69,18 @@ def bronze_orders_from_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def bronze_orders_from_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``orders`` in the ``bronze_orders`` shape."""
+    return _orders_shape(load(spark, sf_dir, "orders"))
+
+
 def urgent_orders_from_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders narrowed to priority ``1-URGENT`` so some customers have none.
 
     The narrowing belongs to the fixture: it makes the outer join's empty
     matches visible on the driver's tables.
     """
-    orders = load(spark, sf_dir, "orders").where(F.col("o_orderpriority") == "1-URGENT")
-    return orders.select(
-        F.col("o_orderkey").cast("string").alias("order_id"),
-        F.col("o_custkey").cast("string").alias("customer_id"),
-        F.col("o_totalprice").cast(AMOUNT_TYPE).cast("string").alias("amount"),
-        F.col("o_orderdate").cast("date").cast("string").alias("order_date"),
-    )
+    return _orders_shape(load(spark, sf_dir, "orders").where(F.col("o_orderpriority") == "1-URGENT"))
 
 
 def runs_from_events(spark: SparkSession, sf_dir: str) -> DataFrame:
