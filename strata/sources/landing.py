@@ -25,12 +25,18 @@ CSV_OPTIONS = {
 }
 
 
-def _options(path_glob: str | None, max_files_per_trigger: int | None) -> dict[str, str]:
+def _options(
+    path_glob: str | None, max_files_per_trigger: int | None, archive_dir: str | None = None
+) -> dict[str, str]:
     opts = dict(CSV_OPTIONS)
     if path_glob:
         opts["pathGlobFilter"] = path_glob
     if max_files_per_trigger:
         opts["maxFilesPerTrigger"] = str(max_files_per_trigger)
+    if archive_dir:
+        # Files a committed batch has read move here, so listing stays short.
+        opts["cleanSource"] = "archive"
+        opts["sourceArchiveDir"] = archive_dir
     return opts
 
 
@@ -45,11 +51,16 @@ def read_landing_stream(
     ddl: str,
     path_glob: str | None = None,
     max_files_per_trigger: int | None = None,
+    archive_dir: str | None = None,
 ) -> DataFrame:
-    """Incremental read of a landing directory: each new file once, append-only."""
+    """Incremental read of a landing directory: each new file once, append-only.
+
+    ``max_files_per_trigger`` bounds each micro-batch; ``archive_dir`` (on the
+    same file system, outside the landing folder) moves read files away.
+    """
     return (
         spark.readStream.format("csv")
-        .options(**_options(path_glob, max_files_per_trigger))
+        .options(**_options(path_glob, max_files_per_trigger, archive_dir))
         .schema(struct(ddl))
         .load(path)
     )

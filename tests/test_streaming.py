@@ -66,3 +66,15 @@ def test_stub_stream_has_declared_schema_and_no_rows(spark, workdir):
     ingest(stream, f"{workdir}/ckpt", path=f"{workdir}/sink")
     out = f"{workdir}/sink"
     assert not os.path.exists(out) or spark.read.schema(stream.schema).parquet(out).count() == 0
+
+
+def test_bounded_batches_and_archive(spark, workdir):
+    landing, ckpt, sink, archive = f"{workdir}/in/orders", f"{workdir}/ckpt", f"{workdir}/sink", f"{workdir}/archive"
+    for i, row in enumerate(ORDER_ROWS):
+        write_csv(f"{landing}/f{i}.csv", ORDERS_HEADER, [row])
+    stream = read_landing_stream(spark, landing, BRONZE_ORDERS_DDL, max_files_per_trigger=2, archive_dir=archive)
+    ingest(stream, ckpt, path=sink)
+    assert spark.read.parquet(sink).count() == len(ORDER_ROWS)
+    again = read_landing_stream(spark, landing, BRONZE_ORDERS_DDL, max_files_per_trigger=2, archive_dir=archive)
+    ingest(again, ckpt, path=sink)
+    assert spark.read.parquet(sink).count() == len(ORDER_ROWS)
