@@ -34,7 +34,8 @@ from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from strata.plans.sizing import MAX_BROADCAST_ROWS
+from strata.plans import sizing
+from strata.plans.sizing import broadcast_if_small
 
 _DIGIT_BITS = 16
 _ROUNDS = 64 // _DIGIT_BITS
@@ -134,7 +135,8 @@ def radix_median(values: DataFrame, keys: list[str], alias: str = "median") -> D
     counts = top.groupBy(*keys).agg(F.sum("_c").alias("_n"))
     stats = counts.agg(F.count(F.lit(1)).alias("groups"), F.max("_n").alias("largest")).first()
     n_groups, largest = int(stats["groups"]), int(stats["largest"] or 0)
-    broadcast = n_groups * 2 <= MAX_BROADCAST_ROWS
+    state_rows = n_groups * 2
+    broadcast = state_rows <= sizing.MAX_BROADCAST_ROWS
     salts = 1 if broadcast else min(MAX_SALTS, max(1, math.ceil(largest / ROWS_PER_SALT)))
     join_keys = keys + (["_salt"] if salts > 1 else [])
 
@@ -145,7 +147,7 @@ def radix_median(values: DataFrame, keys: list[str], alias: str = "median") -> D
         )
     )
     targets = counts.select(*keys, F.explode(ranks).alias("_t")).withColumn("_rank", F.col("_t"))
-    targets = (F.broadcast(targets) if broadcast else targets).alias("p")
+    targets = broadcast_if_small(targets, state_rows, sizing.MAX_BROADCAST_ROWS).alias("p")
     first = top.alias("h").join(targets, _same(keys, "h", "p"), "inner").select(
         *[F.col(f"h.{k}").alias(k) for k in keys], "p._t", "p._rank", "h._digit", "h._c", "h._vmin", "h._vmax"
     )
@@ -164,7 +166,7 @@ def radix_median(values: DataFrame, keys: list[str], alias: str = "median") -> D
         active = state.where(~F.col("_done"))
         if salts > 1:
             active = active.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-        probe = (F.broadcast(active) if broadcast else active).alias("p")
+        probe = broadcast_if_small(active, state_rows, sizing.MAX_BROADCAST_ROWS).alias("p")
         joined = (
             rows.join(probe, _same(join_keys, "r", "p"), "inner")
             .where(F.shiftright(F.col("r._key"), shift + _DIGIT_BITS) == F.col("p._prefix"))

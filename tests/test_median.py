@@ -50,7 +50,7 @@ def test_radix_path_matches_python_median(spark, rows):
 
 def test_salted_path_matches(spark, monkeypatch):
     monkeypatch.setattr(M, "SMALL_GROUP_ROWS", 0)
-    monkeypatch.setattr(M, "MAX_BROADCAST_ROWS", 0)
+    monkeypatch.setattr(M.sizing, "MAX_BROADCAST_ROWS", 0)
     monkeypatch.setattr(M, "ROWS_PER_SALT", 7)
     rows = [("hot", float(i % 13)) for i in range(200)] + [("cold", 2.5), ("cold", 4.5)]
     _check(spark, rows)
