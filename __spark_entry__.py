@@ -26,6 +26,12 @@ from strata.sources.tables import (
     urgent_orders_from_tables,
 )
 
+try:  # this subpackage and its pipeline may be left out
+    import corpus_pipeline
+    from strata.llm import queries as llm_queries
+except ImportError:
+    corpus_pipeline = llm_queries = None
+
 SMOKE_DIR = "/root/testdata/sf0.001"
 
 
@@ -136,6 +142,10 @@ def entry(spark: SparkSession) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return _own_queries() | ({**llm_queries.queries(), "pipeline": corpus_pipeline.run} if llm_queries else {})
+
+
+def _own_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "bronze_customers": bronze_customers_from_tables,
         "bronze_orders": bronze_orders_from_tables,
@@ -325,6 +335,10 @@ def _check_rows() -> str:
 
 
 def oracle_sql() -> dict[str, str]:
+    return _own_oracle_sql() | (llm_queries.oracle_sql() if llm_queries else {})
+
+
+def _own_oracle_sql() -> dict[str, str]:
     silver = f"WITH {_BRONZE_CUSTOMERS}, {_BRONZE_ORDERS} {_silver_sql('bronze_orders')}"
     return {
         "bronze_customers": f"WITH {_BRONZE_CUSTOMERS} SELECT * FROM bronze_customers",
