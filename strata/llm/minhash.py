@@ -54,13 +54,11 @@ def _sets(hashes: np.ndarray, first: np.ndarray, k: int) -> tuple[np.ndarray, np
     for t in np.flatnonzero((n > 0) & (n < k)):
         own = hashes[first[t] : first[t + 1]]
         out[offsets[t]] = mix((own * powers(k)[: len(own)]).sum(keepdims=True) ^ np.uint64(len(own)))[0]
-    owner = np.repeat(np.arange(len(n)), many)
     kept, sizes = [], np.zeros(len(n), np.int64)
     for t in range(len(n)):
         own = np.unique(out[offsets[t] : offsets[t + 1]])
         kept.append(own)
         sizes[t] = len(own)
-    del owner
     return (np.concatenate(kept) if kept else out), np.concatenate(([0], np.cumsum(sizes)))
 
 

@@ -7,6 +7,7 @@ its batch (or one text, if that is longer) in arrays.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -77,9 +78,30 @@ class Words:
         value = (self.data[at].astype(np.uint64) + np.uint64(1)) * powers(int(lengths.max()))[place]
         return mix(np.add.reduceat(value, np.concatenate(([0], np.cumsum(lengths)[:-1]))))
 
-    def owner(self) -> np.ndarray:
-        """The text of each word."""
-        return np.repeat(np.arange(len(self.first) - 1), np.diff(self.first))
+    def joined(self, keep: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """The words (those that ``keep`` marks) joined by one space: bytes and each text's (start, end)."""
+        starts, ends, counts = self.starts, self.ends, np.diff(self.first)
+        if keep is not None:
+            total = np.concatenate(([0], np.cumsum(keep)))
+            counts = total[self.first[1:]] - total[self.first[:-1]]
+            starts, ends = starts[keep], ends[keep]
+        if not len(starts):
+            return np.zeros(0, np.uint8), np.zeros((len(counts), 2), np.int64)
+        room = ends - starts + 1
+        stop = np.cumsum(room)
+        at = np.repeat(starts - (stop - room), room)
+        at += np.arange(len(at))
+        out = self.data[np.minimum(at, len(self.data) - 1)]
+        out[stop - 1] = 32
+        bounds = np.concatenate(([0], stop))[np.concatenate(([0], np.cumsum(counts)))]
+        first, last = bounds[:-1], bounds[1:]
+        return out, np.stack((first, np.where(counts > 0, last - 1, first)), 1)
+
+    def digests(self, keep: np.ndarray | None = None) -> list[str]:
+        """SHA-256 of each text's words joined by one space."""
+        data, at = self.joined(keep)
+        view = memoryview(data)
+        return [hashlib.sha256(view[s:e]).hexdigest() for s, e in at.tolist()]
 
 
 def grams(hashes: np.ndarray, k: int) -> np.ndarray:
