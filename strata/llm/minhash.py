@@ -12,10 +12,12 @@ Copies: documents with equal sets are one class, whose smallest doc_id stands
 for it. Within a bucket no list of pairs is made. First each member is held
 against the bucket's smallest one; the confirmed links are joined into
 components, and only members that are still in different components meet
-further hubs, four times as many each round, until no bucket has a pair that is
-neither confirmed, refused, nor joined through others. So no link that could
-join two components is lost, a group of near copies costs about one
-comparison a member, and nothing grows with the square of a group.
+further hubs, more each round, until no bucket has a pair that is neither
+confirmed, refused, nor joined through others. In these rounds a pair is made only
+if its longer signatures agree: of ``LONG`` coordinates (further shifts of the same
+permutation, two bits each) a pair at 0.8 agrees in fewer than ``AGREE`` once in a
+million. So a group of near copies costs about one comparison a member, not one
+for each pair.
 
 Nulls: a null text is empty; rows with a null doc_id are left out (an id is
 needed to be linked). Repeated rows of one doc_id count once: the row with the
@@ -28,15 +30,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from strata.llm.common import components, staged
 from strata.llm.tokens import grams, mix, pieces, powers
 
 BANDS, ROWS = 32, 4
-# Hubs of a bucket in the second round; each later round has four times as many.
-HUBS = 8
+# Hubs of a bucket in the second round; each later round has GROWTH times as many.
+HUBS, GROWTH = 16, 16
+# Coordinates of the longer signature, and how many must agree.
+LONG, AGREE = 512, 397
 
 
 def _sets(hashes: np.ndarray, first: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -62,8 +66,8 @@ def _sets(hashes: np.ndarray, first: np.ndarray, k: int) -> tuple[np.ndarray, np
     return (np.concatenate(kept) if kept else out), np.concatenate(([0], np.cumsum(sizes)))
 
 
-def _signatures(values: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """Circulant signature of each nonempty set: ``BANDS * ROWS`` coordinates."""
+def _signatures(values: np.ndarray, offsets: np.ndarray, begin: int = 0, end: int = BANDS * ROWS) -> np.ndarray:
+    """Circulant signature of each nonempty set: coordinates ``begin`` to ``end``."""
     # The first permutation: a bijection of the 32-bit universe.
     x = (values >> np.uint64(32)).astype(np.uint32)
     x ^= x >> np.uint32(16)
@@ -72,8 +76,8 @@ def _signatures(values: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     x *= np.uint32(0x846CA68B)
     x ^= x >> np.uint32(16)
     full = offsets[:-1][np.diff(offsets) > 0]
-    out = np.empty((len(full), BANDS * ROWS), np.uint32)
-    for j in range(BANDS * ROWS):
+    out = np.empty((len(full), end - begin), np.uint32)
+    for j in range(begin, end):
         # The second permutation, shifted circularly by j.
         y = x + np.uint32(j * 0x9E3779B1 & 0xFFFFFFFF)
         y ^= y >> np.uint32(16)
@@ -81,7 +85,7 @@ def _signatures(values: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         y ^= y >> np.uint32(15)
         y *= np.uint32(0x735A2D97)
         y ^= y >> np.uint32(15)
-        out[:, j] = np.minimum.reduceat(y, full) if len(full) else 0
+        out[:, j - begin] = np.minimum.reduceat(y, full) if len(full) else 0
     return out
 
 
@@ -120,6 +124,39 @@ def _sketch(k: int):
     return run
 
 
+def _longer(k: int):
+    """(x, bits): two bits of each coordinate of the longer signature, 32 in a number; rows (doc_id, text)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        place = np.arange(0, 64, 2, dtype=np.uint64)
+        for batch in batches:
+            for lo, hi, words in pieces(batch.column(1), lower=True):
+                values, offsets = _sets(words.hashes(), words.first, k)
+                begin = BANDS * ROWS
+                two = _signatures(values, offsets, begin, begin + LONG).astype(np.uint64) & np.uint64(3)
+                full = np.flatnonzero(np.diff(offsets))
+                packed = (two.reshape(len(full), LONG // 32, 32) << place).sum(2, dtype=np.uint64)
+                at = pa.array((np.arange(len(full) + 1) * (LONG // 32)).astype(np.int32))
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        batch.column(0).slice(lo, hi - lo).take(pa.array(full)),
+                        pa.ListArray.from_arrays(at, pa.array(packed.reshape(-1).view(np.int64))),
+                    ],
+                    ["x", "bits"],
+                )
+
+    return run
+
+
+def _agree(a: str, b: str) -> Column:
+    """Whether enough coordinates of two longer signatures are equal."""
+    apart = F.lit(0)
+    for i in range(LONG // 32):
+        z = F.get(F.col(a), F.lit(i)).bitwiseXOR(F.get(F.col(b), F.lit(i)))
+        apart = apart + F.bit_count(z.bitwiseOR(F.shiftrightunsigned(z, 1)).bitwiseAND(F.lit(0x5555555555555555)))
+    return apart <= LONG - AGREE
+
+
 def _confirm(k: int, percent: int):
     """Keeps the pairs (a, b, text_a, text_b) whose sets are similar enough."""
 
@@ -188,7 +225,7 @@ def near_duplicates(documents: DataFrame, k: int = 5, percent: int = 80) -> Data
     links = tried.where("linked")
     joined = staged(components(links, "a", "b", "minhash-star"), "minhash-components")
     # Only buckets of three and more can hold a pair that has not met.
-    open_rows = members.where("n > 2").select("key", "x")
+    open_rows, marks = members.where("n > 2").select("key", "x"), None
     done, size = 1, HUBS
     while True:
         now = open_rows.join(joined, open_rows["x"] == joined["id"], "left").select(
@@ -201,18 +238,20 @@ def near_duplicates(documents: DataFrame, k: int = 5, percent: int = 80) -> Data
         left = staged(now.join(mixed, "key"), "minhash-open")
         if left.isEmpty():
             break
-        # The hubs of a bucket: its members from rank done to done + size, by hash ranges of the bucket.
-        ranked = left.selectExpr(
-            "key", "x", "component", "row_number() OVER (PARTITION BY key ORDER BY x) - 1 AS rank"
+        if marks is None:
+            ids = left.select(F.col("x").alias("doc_id")).distinct()
+            marks = staged(held.join(ids, "doc_id").mapInArrow(_longer(k), "x bigint, bits array<bigint>"), "minhash-marks")
+        # The hubs of a bucket: its members from rank done to done + size.
+        ranked = left.join(marks, "x").selectExpr(
+            "key", "x", "component", "bits", "row_number() OVER (PARTITION BY key ORDER BY x) - 1 AS rank"
         )
         ranked = staged(ranked, "minhash-ranked")
         hub = ranked.where(f"rank >= {done} AND rank < {done + size}").select(
-            "key", F.col("x").alias("a"), F.col("component").alias("c"), F.col("rank").alias("r")
+            "key", F.col("x").alias("a"), F.col("component").alias("c"), F.col("rank").alias("r"), F.col("bits").alias("own")
         )
         fresh = (
             ranked.where(f"rank > {done}")
-            .join(hub, "key")
-            .where("rank > r AND c <> component")
+            .join(hub, (ranked["key"] == hub["key"]) & F.expr("rank > r AND c <> component") & _agree("bits", "own"))
             .select("a", F.col("x").alias("b"))
             .distinct()
             .join(tried.select("a", "b"), ["a", "b"], "left_anti")
@@ -226,7 +265,7 @@ def near_duplicates(documents: DataFrame, k: int = 5, percent: int = 80) -> Data
                 links = links.unionByName(found)
                 joined = staged(components(links, "a", "b", "minhash-star"), "minhash-components")
         open_rows = left.select("key", "x")
-        done, size = done + size, size * 4
+        done, size = done + size, size * GROWTH
     of_class = classes.join(joined, classes["rep"] == joined["id"], "left").select(
         *name, F.coalesce("component", "rep").alias("component_id")
     )
