@@ -9,21 +9,22 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from strata.operators.gates import gate_summary, run_verdict
+from strata.operators.gates import gate_summary, run_breaches, run_verdict
 from strata.plans.checks import acceptance_checks
-from strata.plans.pipeline import Namespace, run_update
-from strata.schemas import BRONZE_CUSTOMERS_DDL, BRONZE_ORDERS_DDL
+from strata.plans.pipeline import Namespace, reset, run_update
+from strata.schemas import BRONZE_CUSTOMERS_DDL, BRONZE_ORDERS_DDL, SILVER_SUMMARY
 from strata.session import scratch_dir
 from strata.sources.landing import drops_glob, read_landing_stream, write_csv_drop
 from strata.streaming.ingest import ingest
-from strata.operators.rollup import customer_summary, customer_summary_as_written
+from strata.operators.rollup import customer_summary
 from strata.operators.preview import preview
-from strata.operators.scaffold import silver_scaffold
 from strata.sources.tables import (
     bronze_customers_from_tables,
     bronze_orders_from_tables,
+    defective_customers_from_tables,
+    defective_orders_from_tables,
+    displaced_orders_from_tables,
     runs_from_events,
-    urgent_orders_from_tables,
 )
 
 try:  # this subpackage and its pipeline may be left out
@@ -41,32 +42,44 @@ def _silver(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def _silver_as_written(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return customer_summary_as_written(
-        bronze_customers_from_tables(spark, sf_dir), bronze_orders_from_tables(spark, sf_dir)
+def _silver_displaced(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return customer_summary(
+        bronze_customers_from_tables(spark, sf_dir), displaced_orders_from_tables(spark, sf_dir)
     )
 
 
-def _silver_narrowed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return customer_summary(
-        bronze_customers_from_tables(spark, sf_dir), urgent_orders_from_tables(spark, sf_dir)
-    )
+def _stored(spark: SparkSession, df: DataFrame, purpose: str) -> DataFrame:
+    path = scratch_dir(spark, purpose)
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def _silver_preview(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return preview(_silver(spark, sf_dir))
+    """The first rows of the stored silver table."""
+    return preview(_stored(spark, _silver(spark, sf_dir), "silver"))
 
 
 def _acceptance_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
     customers = bronze_customers_from_tables(spark, sf_dir)
     orders = bronze_orders_from_tables(spark, sf_dir)
-    return acceptance_checks(customers, orders, customer_summary(customers, orders))
+    return acceptance_checks(customers, orders, _stored(spark, customer_summary(customers, orders), "silver"))
+
+
+def _acceptance_checks_defects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The checks on defective tables, against the silver table of the sound orders."""
+    customers = defective_customers_from_tables(spark, sf_dir)
+    silver = customer_summary(customers, displaced_orders_from_tables(spark, sf_dir))
+    return acceptance_checks(customers, defective_orders_from_tables(spark, sf_dir), _stored(spark, silver, "silver"))
 
 
 def _run_gates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return gate_summary(runs_from_events(spark, sf_dir), ["event_type"])
 
 
+def _run_breaches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return run_breaches(runs_from_events(spark, sf_dir), ["event_type"])
+
+
 def _run_verdict(spark: SparkSession, sf_dir: str) -> DataFrame:
     return run_verdict(runs_from_events(spark, sf_dir), ["event_type"])
 
@@ -122,7 +135,7 @@ def _pipeline_end_to_end(spark: SparkSession, sf_dir: str) -> DataFrame:
     write_csv_drop(bronze_customers_from_tables(spark, sf_dir), f"{customers_landing}/drop-0001")
     _land_orders(spark, sf_dir, orders_landing)
     ns = Namespace(schema="strata_" + root.rsplit("-", 1)[-1])
-    return run_update(
+    run_update(
         spark,
         drops_glob(customers_landing),
         drops_glob(orders_landing),
@@ -130,10 +143,10 @@ def _pipeline_end_to_end(spark: SparkSession, sf_dir: str) -> DataFrame:
         f"{root}/checkpoints",
         location=f"{root}/warehouse",
     )
-
-
-def _silver_scaffold(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return silver_scaffold(bronze_customers_from_tables(spark, sf_dir))
+    # The rows outlive the namespace, which is dropped.
+    silver = _stored(spark, spark.read.table(ns.qualified(SILVER_SUMMARY)), "silver")
+    reset(spark, ns, root)
+    return silver
 
 
 def entry(spark: SparkSession) -> DataFrame:
@@ -150,16 +163,16 @@ def _own_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "bronze_customers": bronze_customers_from_tables,
         "bronze_orders": bronze_orders_from_tables,
         "silver_customer_summary": _silver,
-        "silver_as_written": _silver_as_written,
-        "silver_narrowed_orders": _silver_narrowed,
+        "silver_displaced_orders": _silver_displaced,
         "silver_preview": _silver_preview,
-        "silver_scaffold": _silver_scaffold,
         "acceptance_checks": _acceptance_checks,
+        "acceptance_checks_defects": _acceptance_checks_defects,
         "bronze_orders_streamed": _orders_streamed,
         "bronze_customers_streamed": _customers_streamed,
         "pipeline_end_to_end": _pipeline_end_to_end,
         "run_gates": _run_gates,
         "run_verdict": _run_verdict,
+        "run_breaches": _run_breaches,
     }
 
 
@@ -186,32 +199,48 @@ bronze_orders AS (
   FROM orders
 )"""
 
-_URGENT_ORDERS = """
-urgent_orders AS (
+_DISPLACED_ORDERS = """
+displaced_orders AS (
   SELECT CAST(o_orderkey AS VARCHAR) AS order_id,
-         CAST(o_custkey AS VARCHAR) AS customer_id,
+         CASE o_orderpriority WHEN '1-URGENT' THEN CAST(o_custkey AS VARCHAR)
+           WHEN '5-LOW' THEN 'lost-' || CAST(o_custkey AS VARCHAR) END AS customer_id,
          CAST(CAST(o_totalprice AS DECIMAL(18,2)) AS VARCHAR) AS amount,
          CAST(CAST(o_orderdate AS DATE) AS VARCHAR) AS order_date
-  FROM orders WHERE o_orderpriority = '1-URGENT'
+  FROM orders
+)"""
+
+_DEFECTS = """
+defective_customers AS (
+  SELECT CASE WHEN CAST(id AS BIGINT) % 97 <> 0 THEN id END AS id, name, region, signup_date
+  FROM bronze_customers, LATERAL (SELECT unnest(range(CASE WHEN CAST(id AS BIGINT) % 89 = 0 THEN 2 ELSE 1 END))) n
+),
+defective_orders AS (
+  SELECT order_id, customer_id,
+         CASE WHEN k % 101 = 0 THEN 'oops' WHEN k % 103 = 0 THEN '12345678901234567.00'
+              WHEN k % 107 = 0 THEN amount || '000000001' ELSE amount END AS amount,
+         CASE WHEN k % 109 = 0 THEN '1995-2-03' ELSE order_date END AS order_date
+  FROM (SELECT *, CAST(order_id AS BIGINT) AS k FROM displaced_orders) o
 )"""
 
 
-def _silver_sql(orders_cte: str) -> str:
+def _silver_sql(orders_cte: str, customers_cte: str = "bronze_customers") -> str:
     return f"""
 SELECT c.id, c.name, c.region,
        count(o.order_id) AS total_orders,
        CAST(sum(CAST(o.amount AS DECIMAL(18,2))) AS DOUBLE) AS total_amount,
        max(o.order_date) AS last_order_date
-FROM bronze_customers c LEFT JOIN {orders_cte} o ON c.id = o.customer_id
+FROM {customers_cte} c LEFT JOIN {orders_cte} o ON c.id = o.customer_id
 GROUP BY c.id, c.name, c.region"""
 
 
 _RUNS = """
 runs AS (
-  SELECT event_id AS cycle, event_type,
-         CASE WHEN user_id % 10 <> 0 THEN 'pass' ELSE 'fail' END AS outcome,
-         value AS reset_duration, value * 10 AS total_e2e_duration
-  FROM events
+  SELECT cycle, event_type, outcome, reset_duration, reset_duration * 10 AS total_e2e_duration
+  FROM (SELECT event_id AS cycle, event_type,
+               CASE WHEN event_type = 'signup' OR (user_id % 10 <> 0 AND event_type <> 'error')
+                 THEN 'pass' ELSE 'fail' END AS outcome,
+               CASE WHEN event_type = 'signup' THEN value % 100 ELSE value END AS reset_duration
+        FROM events) e
 ),
 stacked AS (
   SELECT event_type, 'm1' AS metric, CAST(reset_duration AS DOUBLE) AS duration, 120.0 AS lim
@@ -254,9 +283,9 @@ gates AS (
 _VERDICT = """
 SELECT c.event_type, c.cycles, c.cycles_passed, c.cycles - c.cycles_passed AS flakes,
        g.m1_all_pass, g.m2_all_pass,
-       (blockers = '' AND c.cycles_passed = c.cycles) AS ready,
-       CASE WHEN blockers = '' AND c.cycles_passed = c.cycles THEN 'READY' ELSE 'NOT READY' END
-         AS verdict,
+       c.cycles_passed = c.cycles AS m3_pass,
+       blockers = '' AS ready,
+       CASE WHEN blockers = '' THEN 'READY' ELSE 'NOT READY' END AS verdict,
        blockers
 FROM (SELECT event_type, count(*) AS cycles, count(*) FILTER (WHERE outcome = 'pass') AS cycles_passed
       FROM runs GROUP BY event_type) c
@@ -272,6 +301,15 @@ LATERAL (SELECT concat_ws('; ',
            CASE WHEN NOT g.m2_all_pass THEN 'm2 gate failed' END) AS blockers) b"""
 
 
+_BREACHES = """
+SELECT event_type, cycle, metric, duration, lim AS "limit"
+FROM (SELECT event_type, cycle, 'm1' AS metric, CAST(reset_duration AS DOUBLE) AS duration,
+             CAST(120.0 AS DOUBLE) AS lim FROM runs
+      UNION ALL
+      SELECT event_type, cycle, 'm2', CAST(total_e2e_duration AS DOUBLE), CAST(1500.0 AS DOUBLE) FROM runs) s
+WHERE duration > lim"""
+
+
 _CHECKS = """
 per_id AS (SELECT id, count(*) AS copies FROM bronze_customers GROUP BY id),
 cust AS (
@@ -284,11 +322,9 @@ cust AS (
 ords AS (
   SELECT count(*) AS o_rows,
          count(*) FILTER (WHERE customer_id IS NULL) AS o_null_customer,
-         count(*) FILTER (WHERE amount IS NOT NULL AND TRY_CAST(amount AS DECIMAL(38,10)) IS NULL)
+         count(*) FILTER (WHERE amount IS NOT NULL AND TRY_CAST(amount AS DECIMAL(18,2)) IS NULL)
            AS o_bad_amounts,
-         count(*) FILTER (WHERE TRY_CAST(amount AS DECIMAL(38,10)) IS NOT NULL
-                            AND TRY_CAST(amount AS DECIMAL(38,10))
-                                <> CAST(TRY_CAST(amount AS DECIMAL(38,10)) AS DECIMAL(18,2)))
+         count(*) FILTER (WHERE TRY_CAST(amount AS DECIMAL(38,18)) <> TRY_CAST(amount AS DECIMAL(18,2)))
            AS o_rounded_amounts,
          count(*) FILTER (WHERE order_date IS NOT NULL
                             AND NOT coalesce(CAST(TRY_CAST(order_date AS DATE) AS VARCHAR) = order_date, false))
@@ -340,24 +376,25 @@ def oracle_sql() -> dict[str, str]:
 
 def _own_oracle_sql() -> dict[str, str]:
     silver = f"WITH {_BRONZE_CUSTOMERS}, {_BRONZE_ORDERS} {_silver_sql('bronze_orders')}"
+    defective_checks = _CHECKS.replace("FROM bronze_", "FROM defective_")
     return {
         "bronze_customers": f"WITH {_BRONZE_CUSTOMERS} SELECT * FROM bronze_customers",
         "bronze_orders": f"WITH {_BRONZE_ORDERS} SELECT * FROM bronze_orders",
         "silver_customer_summary": silver,
-        "silver_as_written": silver,
-        "silver_narrowed_orders": (
-            f"WITH {_BRONZE_CUSTOMERS}, {_URGENT_ORDERS} {_silver_sql('urgent_orders')}"
+        "silver_displaced_orders": (
+            f"WITH {_BRONZE_CUSTOMERS}, {_DISPLACED_ORDERS} {_silver_sql('displaced_orders')}"
         ),
         "silver_preview": f"SELECT * FROM ({silver}) s ORDER BY id LIMIT 10",
         "acceptance_checks": (
             f"WITH {_BRONZE_CUSTOMERS}, {_BRONZE_ORDERS}, silver AS ({_silver_sql('bronze_orders')}),"
             f" {_CHECKS} {_check_rows()}"
         ),
-        "silver_scaffold": (
-            f"WITH {_BRONZE_CUSTOMERS} SELECT id, name, region, CAST(0 AS BIGINT) AS total_orders,"
-            " CAST(0.0 AS DOUBLE) AS total_amount, signup_date AS last_order_date"
-            " FROM bronze_customers LIMIT 0"
+        "acceptance_checks_defects": (
+            f"WITH {_BRONZE_CUSTOMERS}, {_DISPLACED_ORDERS}, {_DEFECTS},"
+            f" silver AS ({_silver_sql('displaced_orders', 'defective_customers')}),"
+            f" {defective_checks} {_check_rows()}"
         ),
+        "run_breaches": f"WITH {_RUNS} {_BREACHES}",
         "bronze_orders_streamed": f"WITH {_BRONZE_ORDERS} SELECT * FROM bronze_orders",
         "bronze_customers_streamed": f"WITH {_BRONZE_CUSTOMERS} SELECT * FROM bronze_customers",
         "pipeline_end_to_end": silver,

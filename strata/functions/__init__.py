@@ -7,8 +7,7 @@ from strata.functions.money import (
     amount_has_excess_scale,
     money_to_double,
 )
-from strata.functions.columns import typed_null, typed_literal
-from strata.functions.dates import iso_date_is_exact, iso_date_or_fail, iso_text
+from strata.functions.dates import iso_date_is_exact, latest_date_text
 
 __all__ = [
     "AMOUNT_TYPE",
@@ -16,9 +15,6 @@ __all__ = [
     "amount_is_bad",
     "amount_has_excess_scale",
     "money_to_double",
-    "typed_null",
-    "typed_literal",
     "iso_date_is_exact",
-    "iso_date_or_fail",
-    "iso_text",
+    "latest_date_text",
 ]

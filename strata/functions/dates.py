@@ -1,10 +1,10 @@
-"""Order dates arrive as ISO ``yyyy-MM-dd`` text.
+"""Order dates arrive as text, nearly always ISO ``yyyy-MM-dd``.
 
-For ISO dates the text order is the calendar order, so the latest date can be
-taken on a DATE (a fixed-width int) instead of a string. That keeps the
-aggregate in a hash aggregate: a string buffer would force a sort-based
-aggregate over every order row. A value that is not exactly ISO would make
-the two orders differ, so it fails the query instead of giving a wrong max.
+For ISO dates the text order is the calendar order, so the latest one is taken on
+a DATE (a fixed-width int) in a hash aggregate; a string buffer would force a
+sort-based aggregate over every order row. Texts that are not exactly ISO (none,
+as a rule) are reduced apart, as strings, and the greater of the two counts: the
+result is the string maximum, and no value of the declared type fails.
 """
 
 from __future__ import annotations
@@ -23,16 +23,6 @@ def iso_date_is_exact(c: str | Column) -> Column:
     return c.try_cast("date").cast("string") == c
 
 
-def iso_date_or_fail(c: str | Column) -> Column:
-    """The DATE of an exact ISO text; NULL for NULL; a query error otherwise."""
-    c = _col(c)
-    return (
-        F.when(c.isNull(), F.lit(None).cast("date"))
-        .when(iso_date_is_exact(c), c.try_cast("date"))
-        .otherwise(F.raise_error(F.concat(F.lit("order_date is not yyyy-MM-dd: "), c)).cast("date"))
-    )
-
-
-def iso_text(c: Column) -> Column:
-    """DATE back to its ISO text."""
-    return c.cast("string")
+def latest_date_text(iso: Column, other: Column) -> Column:
+    """The string maximum of the latest ISO date and the greatest other text."""
+    return F.greatest(iso.cast("string"), other)

@@ -23,15 +23,16 @@ def amount_value(c: str | Column) -> Column:
 
 
 def amount_is_bad(c: str | Column) -> Column:
-    """True where a non-null amount does not parse as a number."""
+    """True where a non-null amount does not parse as, or does not fit, the money type."""
     c = _col(c)
-    return c.isNotNull() & c.try_cast("decimal(38,10)").isNull()
+    return c.isNotNull() & c.try_cast(AMOUNT_TYPE).isNull()
 
 
 def amount_has_excess_scale(c: str | Column) -> Column:
     """True where an amount has more than two digits after the point (it gets rounded)."""
-    wide = _col(c).try_cast("decimal(38,10)")
-    return wide.isNotNull() & (wide != wide.cast(AMOUNT_TYPE))
+    wide = _col(c).try_cast("decimal(38,18)")
+    money = _col(c).try_cast(AMOUNT_TYPE)
+    return F.coalesce(wide != money, F.lit(False))
 
 
 def money_to_double(c: str | Column) -> Column:

@@ -1,18 +1,6 @@
-"""Operators: the silver roll-up, preview, scaffolds, exact median and run gates."""
+"""Operators: the silver roll-up, preview, exact median and run gates."""
 
-from strata.operators.rollup import (
-    customer_summary,
-    customer_summary_as_written,
-    per_customer_orders,
-)
+from strata.operators.rollup import customer_summary, per_customer_orders
 from strata.operators.preview import preview
-from strata.operators.scaffold import empty_like, silver_scaffold
 
-__all__ = [
-    "customer_summary",
-    "customer_summary_as_written",
-    "per_customer_orders",
-    "preview",
-    "empty_like",
-    "silver_scaffold",
-]
+__all__ = ["customer_summary", "per_customer_orders", "preview"]

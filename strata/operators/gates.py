@@ -7,8 +7,8 @@ passing runs, and ``all_pass`` (every passing run under the threshold, and at
 least one). A failed run is a flake. The verdict is READY when there is no
 flake, every gate passes and every run passed; otherwise it lists blockers.
 
-Metrics are stacked into a long (group, metric, duration) frame so that one
-aggregation and one distributed median serve every gate.
+Counts and gates come from one aggregate; only the medians stack the metrics into
+a long (group, metric, duration) frame.
 """
 
 from __future__ import annotations
@@ -58,11 +58,22 @@ def stack_gates(runs: DataFrame, group_by: list[str], gates: dict[str, tuple[str
     return runs.where(F.col("outcome") == PASS).select(*group_by, F.inline(entries))
 
 
-def _group_frame(runs: DataFrame, group_by: list[str], gates: dict) -> DataFrame:
-    """Every group of the runs table times every gate, passing runs or not."""
-    names = F.array(*[F.lit(n) for n in gates])
-    groups = runs.select(*group_by).distinct() if group_by else runs.sparkSession.range(1).select()
-    return groups.select(*group_by, F.explode(names).alias("metric"))
+def _per_group(runs: DataFrame, group_by: list[str], gates: dict) -> DataFrame:
+    """Run counts and every gate's figures in one aggregate, one row per group."""
+    passed = F.col("outcome") == PASS
+    aggs = [F.count(F.lit(1)).alias("cycles"), F.count_if(passed).alias("cycles_passed")]
+    for name, (column, limit) in gates.items():
+        duration = F.when(passed, F.col(column).cast("double"))
+        aggs += [
+            F.min(duration).alias(f"_{name}_min"),
+            F.max(duration).alias(f"_{name}_max"),
+            F.count_if(duration < F.lit(float(limit))).alias(f"_{name}_under"),
+        ]
+    return runs.groupBy(*group_by).agg(*aggs)
+
+
+def _all_pass(name: str) -> Column:
+    return (F.col(f"_{name}_under") == F.col("cycles_passed")) & (F.col("cycles_passed") > 0)
 
 
 def gate_summary(
@@ -74,27 +85,24 @@ def gate_summary(
     group_by = list(group_by or [])
     gates = gates or DEFAULT_GATES
     keys = group_by + ["metric"]
-    stacked = stack_gates(runs, group_by, gates)
-    aggregated = stacked.groupBy(*keys).agg(
-        F.min("duration").alias("_min"),
-        F.max("duration").alias("_max"),
-        F.count_if(F.col("duration") < F.col("limit")).alias("_under"),
-        F.count(F.lit(1)).alias("_passed"),
-    )
-    medians = exact_median(stacked, keys, "duration", alias="_p50")
-    joined = _left_join(_left_join(_group_frame(runs, group_by, gates), aggregated, keys), medians, keys)
     zero = F.lit(0.0)
-    passed = F.coalesce(F.col("_passed"), F.lit(0)).cast("bigint")
-    under = F.coalesce(F.col("_under"), F.lit(0)).cast("bigint")
-    return joined.select(
-        *group_by,
-        "metric",
-        F.coalesce(F.col("_min"), zero).alias("min"),
-        F.coalesce(F.col("_max"), zero).alias("max"),
-        F.coalesce(F.col("_p50"), zero).alias("p50"),
-        under.alias("under_limit"),
-        passed.alias("passed_runs"),
-        ((under == passed) & (passed > 0)).alias("all_pass"),
+    entries = F.array(
+        *[
+            F.struct(
+                F.lit(name).alias("metric"),
+                F.coalesce(F.col(f"_{name}_min"), zero).alias("min"),
+                F.coalesce(F.col(f"_{name}_max"), zero).alias("max"),
+                F.col(f"_{name}_under").alias("under_limit"),
+                F.col("cycles_passed").alias("passed_runs"),
+                _all_pass(name).alias("all_pass"),
+            )
+            for name in gates
+        ]
+    )
+    figures = _per_group(runs, group_by, gates).select(*group_by, F.inline(entries))
+    medians = exact_median(stack_gates(runs, group_by, gates), keys, "duration", alias="_p50")
+    return _left_join(figures, medians, keys).select(
+        *keys, "min", "max", F.coalesce(F.col("_p50"), zero).alias("p50"), "under_limit", "passed_runs", "all_pass"
     )
 
 
@@ -102,43 +110,47 @@ def run_verdict(
     runs: DataFrame,
     group_by: list[str] | None = None,
     gates: dict[str, tuple[str, float]] | None = None,
-    summary: DataFrame | None = None,
+    expected_cycles: int | None = None,
 ) -> DataFrame:
-    """``group_by + [cycles, cycles_passed, flakes, <gate>_all_pass..., ready, verdict, blockers]``."""
+    """``group_by + [cycles, cycles_passed, flakes, <gate>_all_pass..., m3_pass, ready, verdict, blockers]``.
+
+    ``expected_cycles`` is the number of runs asked for (by default those present): with
+    fewer passing runs than that, the last gate fails and a group is not READY.
+    """
     group_by = list(group_by or [])
     gates = gates or DEFAULT_GATES
-    summary = summary if summary is not None else gate_summary(runs, group_by, gates)
-    counts = runs.groupBy(*group_by).agg(
-        F.count(F.lit(1)).alias("cycles"),
-        F.count_if(F.col("outcome") == PASS).alias("cycles_passed"),
-    )
-    per_gate = summary.groupBy(*group_by).agg(
-        *[
-            F.bool_and(F.when(F.col("metric") == name, F.col("all_pass"))).alias(f"{name}_all_pass")
-            for name in gates
-        ]
-    )
-    if not group_by:
-        # Both sides are single global rows; pair them on a constant key.
-        counts, per_gate = counts.withColumn("_one", F.lit(1)), per_gate.withColumn("_one", F.lit(1))
-    joined = _left_join(counts, per_gate, group_by or ["_one"])
     flakes = F.col("cycles") - F.col("cycles_passed")
+    expected = F.col("cycles") if expected_cycles is None else F.lit(expected_cycles)
+    m3 = (flakes == 0) & (F.col("cycles_passed") == expected)
     blockers = F.concat_ws(
         "; ",
         F.when(flakes > 0, F.concat(flakes.cast("string"), F.lit(" flake(s) detected"))),
-        *[
-            F.when(~F.col(f"{name}_all_pass"), F.lit(f"{name} gate failed"))
-            for name in gates
-        ],
+        *[F.when(~_all_pass(name), F.lit(f"{name} gate failed")) for name in gates],
+        F.when(
+            (flakes == 0) & (F.col("cycles_passed") != expected),
+            F.concat(F.col("cycles_passed").cast("string"), F.lit(" of "), expected.cast("string"), F.lit(" cycles passed")),
+        ),
     )
-    ready = (blockers == "") & (F.col("cycles_passed") == F.col("cycles"))
-    return joined.select(
+    ready = blockers == ""
+    return _per_group(runs, group_by, gates).select(
         *group_by,
         "cycles",
         "cycles_passed",
         flakes.alias("flakes"),
-        *[f"{name}_all_pass" for name in gates],
+        *[_all_pass(name).alias(f"{name}_all_pass") for name in gates],
+        m3.alias("m3_pass"),
         ready.alias("ready"),
         F.when(ready, "READY").otherwise("NOT READY").alias("verdict"),
         blockers.alias("blockers"),
     )
+
+
+def run_breaches(
+    runs: DataFrame,
+    group_by: list[str] | None = None,
+    gates: dict[str, tuple[str, float]] | None = None,
+) -> DataFrame:
+    """``group_by + [cycle, metric, duration, limit]`` of each run, passing or not, over a limit (strict ``>``)."""
+    group_by = list(group_by or [])
+    everything = runs.withColumn("outcome", F.lit(PASS))
+    return stack_gates(everything, [*group_by, "cycle"], gates or DEFAULT_GATES).where("duration > limit")

@@ -1,50 +1,36 @@
 """Exact median per group, without gathering any group into one task.
 
-Spark's exact ``percentile`` merges every distinct value of a group in one
-task; a group holding a third of all rows would sit in one task's memory.
-Groups are counted first; small groups (a proven bound) are sorted in one
-task each. Past the bound the operator is a radix select over an
-order-preserving 64-bit key of the value, expressed as plain aggregations:
-
-1. A histogram of the top 16 bits per group (no state needed) also gives
-   ``n``; the target ranks are ``(n-1) div 2`` and ``n div 2``.
-2. Up to four rounds, 16 bits each. A later round keeps the rows whose higher
-   bits match the prefix chosen so far for their group, counts them per
-   16-bit digit (at most 65,536 histogram rows per group and target, built
-   with map-side partial aggregation), and a cumulative count over that
-   bounded histogram picks the digit that holds the target rank. A target
-   whose digit holds one distinct value is found and leaves the loop.
-3. After at most four rounds the whole key, hence the value, is fixed. The
-   median is the mean of the values at the two ranks (one when ``n`` is odd).
-
-The per-group state (two rows per group) meets the rows through a broadcast
-when the number of groups is within bound; past it, the state is replicated
-over salt values and joined on (group, salt), so a hot group spreads over
-many tasks. Values are mapped to keys with ``Double.doubleToLongBits``; the
-sign trick makes signed-long order equal numeric order (NaN sorts last, as
-in Spark; -0.0 is folded into 0.0).
+Spark's exact ``percentile`` merges every distinct value of a group in one task.
+This is a radix select over an order-preserving 64-bit key of the value, at
+every size and as one lazy plan of plain aggregations and joins:
+
+1. A histogram of the top 16 bits per group also gives the group's size ``n``;
+   the target ranks are ``(n - 1) div 2`` and ``n div 2``.
+2. Three more rounds, 16 bits each: the rows whose higher bits match the prefix
+   found so far are counted per 16-bit digit (at most 65,536 histogram rows per
+   group and target, pre-aggregated in each task), and a cumulative count over
+   that bounded histogram picks the digit that holds the target rank.
+3. After four rounds the whole key is fixed. The median is the mean of the
+   values at the two ranks (one when ``n`` is odd).
+
+The state of a round has two rows a group. It meets the rows in a plain join on
+the group and prefix: Spark broadcasts the state when its measured size allows,
+and splits the side of a hot group when it does not. Values are mapped to keys with
+``Double.doubleToLongBits``; the sign trick makes signed-long order equal
+numeric order (NaN sorts last, as in Spark; -0.0 is folded into 0.0).
 """
 
 from __future__ import annotations
 
-import math
 from functools import reduce
 
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from strata.plans import sizing
-from strata.plans.sizing import broadcast_if_small
-
 _DIGIT_BITS = 16
 _ROUNDS = 64 // _DIGIT_BITS
 _DIGIT_MASK = (1 << _DIGIT_BITS) - 1
-# Fixed value: largest group whose values may be sorted in one task (8 MB of doubles).
-SMALL_GROUP_ROWS = 1_000_000
-# Fixed value: target rows per task for a salted (hot) group.
-ROWS_PER_SALT = 20_000_000
-MAX_SALTS = 4096
+_ALL = "_all"
 
 
 def order_key(v: Column) -> Column:
@@ -58,138 +44,43 @@ def _normalized(v: Column) -> Column:
     return F.when(d == 0.0, F.lit(0.0)).otherwise(d)
 
 
-def _same(cols: list[str], left: str, right: str) -> Column:
-    """Null-safe equality of ``cols`` between two aliased frames."""
-    return reduce(
-        lambda a, b: a & b, [F.col(f"{left}.{c}").eqNullSafe(F.col(f"{right}.{c}")) for c in cols]
-    )
+def _histogram(rows: DataFrame, group: list[str], digit: Column) -> DataFrame:
+    return rows.groupBy(*group, digit.alias("_digit")).agg(F.count(F.lit(1)).alias("_c"), F.min("_v").alias("_value"))
 
 
-def _pick(hist: DataFrame, keys: list[str], first: bool, last: bool) -> DataFrame:
+def _pick(hist: DataFrame, keys: list[str], prefix: Column) -> DataFrame:
     """From a histogram with target ranks, the digit that holds each rank."""
-    w = Window.partitionBy(*keys, "_t").orderBy("_digit").rowsBetween(
-        Window.unboundedPreceding, Window.currentRow
-    )
+    upto = Window.partitionBy(*keys, "_t").orderBy("_digit").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     before = F.col("_cum") - F.col("_c")
-    prefix = (
-        F.col("_digit")
-        if first
-        else F.shiftleft(F.col("_prefix"), _DIGIT_BITS).bitwiseOR(F.col("_digit"))
-    )
     return (
-        hist.withColumn("_cum", F.sum("_c").over(w))
+        hist.withColumn("_cum", F.sum("_c").over(upto))
         .where((before <= F.col("_rank")) & (F.col("_rank") < F.col("_cum")))
-        .select(
-            *keys,
-            "_t",
-            (F.col("_rank") - before).alias("_rank"),
-            prefix.alias("_prefix"),
-            F.col("_vmin").alias("_value"),
-            # One value in the digit (or the last digit): the target is found.
-            ((F.col("_vmin") == F.col("_vmax")) | F.lit(last)).alias("_done"),
-        )
-    )
-
-
-def _digit_stats(df: DataFrame, group: list[str], digit: Column) -> DataFrame:
-    return df.groupBy(*group, digit.alias("_digit")).agg(
-        F.count(F.lit(1)).alias("_c"), F.min("_v").alias("_vmin"), F.max("_v").alias("_vmax")
+        .select(*keys, "_t", (F.col("_rank") - before).alias("_rank"), prefix.alias("_prefix"), "_value")
     )
 
 
-def _middle(sorted_values: Column, n: Column) -> Column:
-    """Median of a sorted array: the middle value, or the mean of the two."""
-    lo = F.element_at(sorted_values, (F.floor((n - 1) / 2) + 1).cast("int"))
-    hi = F.element_at(sorted_values, (F.floor(n / 2) + 1).cast("int"))
-    return F.when(n % 2 == 1, lo).otherwise((lo + hi) / 2)
-
-
 def exact_median(df: DataFrame, keys: list[str], value: str, alias: str = "median") -> DataFrame:
-    """One row per group of ``keys`` that has a non-null value: ``keys + [alias]``.
-
-    The group sizes are counted first. When the largest group has at most
-    ``SMALL_GROUP_ROWS`` values, each group's values are sorted in one task
-    (a proven bound: a few megabytes). Otherwise the radix select runs.
-    """
-    values = df.select(*keys, _normalized(F.col(value)).alias("_v")).where(F.col("_v").isNotNull())
-    largest = values.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).agg(F.max("_n")).first()[0]
-    if largest is not None and largest <= SMALL_GROUP_ROWS:
-        return values.groupBy(*keys).agg(
-            _middle(F.sort_array(F.collect_list("_v")), F.count(F.lit(1))).alias(alias)
-        )
-    return radix_median(values, keys, alias)
-
-
-def radix_median(values: DataFrame, keys: list[str], alias: str = "median") -> DataFrame:
-    """The radix select over ``values(keys..., _v)``; no group sits in one task.
-
-    Runs eagerly, round by round. The first round needs no state: its
-    histogram of the top 16 bits also gives each group's count. Later rounds
-    meet the rows with the small per-group state; a target whose digit holds
-    one value stops early. The returned frame is cached and small.
-    """
-    base = values.withColumn("_key", order_key(F.col("_v"))).persist(StorageLevel.MEMORY_AND_DISK)
-    top = _digit_stats(base, keys, F.shiftright("_key", 64 - _DIGIT_BITS)).persist(
-        StorageLevel.MEMORY_AND_DISK
-    )
-    counts = top.groupBy(*keys).agg(F.sum("_c").alias("_n"))
-    stats = counts.agg(F.count(F.lit(1)).alias("groups"), F.max("_n").alias("largest")).first()
-    n_groups, largest = int(stats["groups"]), int(stats["largest"] or 0)
-    state_rows = n_groups * 2
-    broadcast = state_rows <= sizing.MAX_BROADCAST_ROWS
-    salts = 1 if broadcast else min(MAX_SALTS, max(1, math.ceil(largest / ROWS_PER_SALT)))
-    join_keys = keys + (["_salt"] if salts > 1 else [])
-
-    ranks = F.array_distinct(
-        F.array(
-            F.floor((F.col("_n") - 1) / 2).cast("bigint"),
-            F.floor(F.col("_n") / 2).cast("bigint"),
-        )
-    )
-    targets = counts.select(*keys, F.explode(ranks).alias("_t")).withColumn("_rank", F.col("_t"))
-    targets = broadcast_if_small(targets, state_rows, sizing.MAX_BROADCAST_ROWS).alias("p")
-    first = top.alias("h").join(targets, _same(keys, "h", "p"), "inner").select(
-        *[F.col(f"h.{k}").alias(k) for k in keys], "p._t", "p._rank", "h._digit", "h._c", "h._vmin", "h._vmax"
-    )
-    state = _pick(first, keys, first=True, last=False).persist(StorageLevel.MEMORY_AND_DISK)
-    cached = [base, top, state]
-
-    rows = base
-    if salts > 1:
-        rows = base.withColumn("_salt", F.floor(F.rand(17) * salts).cast("int"))
-    rows = rows.alias("r")
+    """One row per group of ``keys`` that has a non-null value: ``keys + [alias]``. No keys: one group."""
+    group = list(keys) or [_ALL]
+    rows = df if keys else df.withColumn(_ALL, F.lit(1))
+    rows = rows.select(*group, _normalized(F.col(value)).alias("_v")).where(F.col("_v").isNotNull())
+    rows = rows.withColumn("_key", order_key(F.col("_v")))
+
+    top = _histogram(rows, group, F.shiftright("_key", 64 - _DIGIT_BITS))
+    n = F.sum("_c").over(Window.partitionBy(*group))
+    ranks = F.array_distinct(F.array(F.floor((F.col("_n") - 1) / 2), F.floor(F.col("_n") / 2)))
+    top = top.withColumn("_n", n).withColumn("_t", F.explode(ranks)).withColumn("_rank", F.col("_t"))
+    state = _pick(top, group, F.col("_digit"))
 
     for r in range(1, _ROUNDS):
-        if state.where(~F.col("_done")).isEmpty():
-            break
         shift = 64 - _DIGIT_BITS * (r + 1)
-        active = state.where(~F.col("_done"))
-        if salts > 1:
-            active = active.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-        probe = broadcast_if_small(active, state_rows, sizing.MAX_BROADCAST_ROWS).alias("p")
-        joined = (
-            rows.join(probe, _same(join_keys, "r", "p"), "inner")
-            .where(F.shiftright(F.col("r._key"), shift + _DIGIT_BITS) == F.col("p._prefix"))
-            .select(
-                *[F.col(f"r.{k}").alias(k) for k in keys],
-                F.col("r._v").alias("_v"),
-                F.col("r._key").alias("_key"),
-                F.col("p._t").alias("_t"),
-                F.col("p._rank").alias("_rank"),
-                F.col("p._prefix").alias("_prefix"),
-            )
-        )
+        probe = state.select(*[F.col(k).alias(f"_p_{k}") for k in group], "_t", "_rank", "_prefix")
+        same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_p_{k}")) for k in group])
+        met = rows.join(probe, same & (F.shiftright("_key", shift + _DIGIT_BITS) == F.col("_prefix")))
         digit = F.shiftright("_key", shift).bitwiseAND(F.lit(_DIGIT_MASK))
-        hist = _digit_stats(joined, keys + ["_t", "_rank", "_prefix"], digit)
-        advanced = _pick(hist, keys, first=False, last=r == _ROUNDS - 1)
-        state = state.where(F.col("_done")).unionByName(advanced).persist(StorageLevel.MEMORY_AND_DISK)
-        cached.append(state)
+        hist = _histogram(met, [*group, "_t", "_rank", "_prefix"], digit)
+        state = _pick(hist, group, F.shiftleft(F.col("_prefix"), _DIGIT_BITS).bitwiseOR(F.col("_digit")))
 
     # One target: its value; two targets: their mean, (a + b) / 2.
-    result = state.groupBy(*keys).agg(
-        F.when(F.count(F.lit(1)) == 1, F.min("_value")).otherwise(F.sum("_value") / 2).alias(alias)
-    ).persist(StorageLevel.MEMORY_AND_DISK)
-    result.count()
-    for c in cached:
-        c.unpersist()
-    return result
+    middle = F.when(F.count(F.lit(1)) == 1, F.min("_value")).otherwise(F.sum("_value") / 2)
+    return state.groupBy(*group).agg(middle.alias(alias)).select(*keys, alias)

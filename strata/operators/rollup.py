@@ -1,27 +1,18 @@
 """The silver roll-up: one row per customer with order count, exact total and
 last order date, by a left outer join of customers to orders.
 
-Two plans give the same rows:
-
-``customer_summary`` (default) aggregates before it joins. Orders are summed
-per ``customer_id`` with a map-side partial aggregate, so the shuffle carries
-at most one row per customer per map task and a hot customer holding a third
-of all orders collapses before any exchange. Identical customer rows are
-collapsed the same way into a copy count ``k``; the join then pairs at most
-one aggregate row with each distinct customer row, and the totals are scaled
-by ``k``. That reproduces the join-then-group result exactly, including
-duplicate customer rows (each copy matches every order, so counts and sums
-multiply by ``k``; the latest date does not change).
-
-``customer_summary_as_written`` joins first and groups after, as the
-specification states it. It shuffles every order row and is kept for
-comparison and for plans that must follow the written form.
+It aggregates before it joins. Orders are summed per ``customer_id`` with a
+map-side partial aggregate, so the shuffle carries at most one row per customer
+per map task and a hot customer holding a third of all orders collapses before
+any exchange. Identical customer rows are collapsed the same way into a copy
+count ``k``; the join then pairs at most one aggregate row with each distinct
+customer row, and the totals are scaled by ``k``. That reproduces joining first and
+grouping after exactly, including duplicate customer rows (each copy matches every
+order, so counts and sums multiply by ``k``; the latest date does not change).
 
 Money is summed as DECIMAL(18,2) and cast to DOUBLE once, so totals do not
 depend on row order. A non-numeric amount fails the refresh under ANSI. The
-latest order date is taken on DATE values (hash aggregate, fixed-width
-buffer); a date that is not exact ISO text fails the refresh, so the result
-always equals the string maximum of the specification.
+latest order date is the string maximum (see ``strata.functions.dates``).
 """
 
 from __future__ import annotations
@@ -29,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strata.functions.dates import iso_date_or_fail, iso_text
+from strata.functions.dates import iso_date_is_exact, latest_date_text
 from strata.functions.money import amount_value, money_to_double
 
 _KEYS = ["id", "name", "region"]
@@ -37,15 +28,19 @@ _KEYS = ["id", "name", "region"]
 
 def per_customer_orders(orders: DataFrame) -> DataFrame:
     """Orders reduced to one row per ``customer_id`` (partial + final aggregate)."""
-    return (
-        orders.where(F.col("customer_id").isNotNull())
-        .groupBy("customer_id")
-        .agg(
-            F.count("order_id").alias("_orders"),
-            F.sum(amount_value("amount")).alias("_amount"),
-            F.max(iso_date_or_fail("order_date")).alias("_last"),
-        )
+    known = orders.where(F.col("customer_id").isNotNull())
+    exact = F.coalesce(iso_date_is_exact("order_date"), F.lit(False))
+    totals = known.groupBy("customer_id").agg(
+        F.count("order_id").alias("_orders"),
+        F.sum(amount_value("amount")).alias("_amount"),
+        F.max(F.when(exact, F.col("order_date").try_cast("date"))).alias("_iso"),
+    )
+    # Dates that are not ISO text: normally no row at all.
+    odd = known.where(F.col("order_date").isNotNull() & ~exact).groupBy(F.col("customer_id").alias("_odd_id")).agg(
+        F.max("order_date").alias("_odd")
     )
+    joined = totals.join(odd, F.col("customer_id") == F.col("_odd_id"), "left")
+    return joined.select("customer_id", "_orders", "_amount", latest_date_text(F.col("_iso"), F.col("_odd")).alias("_last"))
 
 
 def customer_summary(customers: DataFrame, orders: DataFrame) -> DataFrame:
@@ -62,18 +57,5 @@ def customer_summary(customers: DataFrame, orders: DataFrame) -> DataFrame:
         "region",
         (F.coalesce(F.col("_orders"), F.lit(0)) * copies).cast("bigint").alias("total_orders"),
         money_to_double(F.col("_amount") * copies).alias("total_amount"),
-        iso_text(F.col("_last")).alias("last_order_date"),
-    )
-
-
-def customer_summary_as_written(customers: DataFrame, orders: DataFrame) -> DataFrame:
-    """Silver customer summary in the written form: left join, then group."""
-    return (
-        customers.join(orders, customers["id"] == orders["customer_id"], "left")
-        .groupBy(customers["id"], customers["name"], customers["region"])
-        .agg(
-            F.count("order_id").alias("total_orders"),
-            money_to_double(F.sum(amount_value("amount"))).alias("total_amount"),
-            F.max("order_date").alias("last_order_date"),
-        )
+        F.col("_last").alias("last_order_date"),
     )

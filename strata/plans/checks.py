@@ -130,9 +130,9 @@ def schema_contract(df: DataFrame, ddl: str) -> list[dict]:
     return out
 
 
-def tables_exist(spark: SparkSession, names: list[str], database: str | None = None) -> dict[str, bool]:
-    """Catalog presence of each table."""
-    return {n: spark.catalog.tableExists(n, database) for n in names}
+def tables_exist(spark: SparkSession, names: list[str]) -> dict[str, bool]:
+    """Catalog presence of each table, by its qualified name."""
+    return {n: spark.catalog.tableExists(n) for n in names}
 
 
 def require_columns(df: DataFrame, columns: list[str]) -> None:

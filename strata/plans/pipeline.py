@@ -17,8 +17,10 @@ import uuid
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from strata.operators.rollup import customer_summary, customer_summary_as_written
+from strata.operators.rollup import customer_summary
+from strata.plans.checks import require_columns, schema_contract, tables_exist
 from strata.schemas import (
     BRONZE_CUSTOMERS,
     BRONZE_CUSTOMERS_DDL,
@@ -27,6 +29,7 @@ from strata.schemas import (
     COMMENTS,
     DDL,
     SILVER_SUMMARY,
+    struct,
 )
 from strata.sources.landing import read_landing_stream
 from strata.streaming.ingest import await_all, start_ingest
@@ -61,14 +64,47 @@ def create_declared_table(spark: SparkSession, ns: Namespace, table: str) -> Non
     )
 
 
-def refresh_silver(spark: SparkSession, ns: Namespace, as_written: bool = False) -> DataFrame:
+CHECKPOINT_PROPERTY = "strata.checkpoint"
+
+
+def bind_checkpoint(spark: SparkSession, ns: Namespace, table: str, checkpoint: str) -> None:
+    """Tie a bronze table to the checkpoint that feeds it; another one raises.
+
+    A table's file sink remembers which batches it has: with a fresh checkpoint it would
+    skip the first ones, and their files would be lost without an error.
+    """
+    shown = spark.sql(f"SHOW TBLPROPERTIES {ns.qualified(table)}").where(F.col("key") == CHECKPOINT_PROPERTY).first()
+    if shown is None:
+        spark.sql(f"ALTER TABLE {ns.qualified(table)} SET TBLPROPERTIES ('{CHECKPOINT_PROPERTY}' = '{checkpoint}')")
+    elif shown["value"] != checkpoint:
+        raise ValueError(
+            f"{table} is fed from checkpoint {shown['value']}, not {checkpoint}; reset the namespace to change it"
+        )
+
+
+def verify(spark: SparkSession, ns: Namespace) -> None:
+    """After an update: every table exists with its declared schema and has rows, or an error."""
+    tables = (BRONZE_CUSTOMERS, BRONZE_ORDERS, SILVER_SUMMARY)
+    missing = [t for t, there in tables_exist(spark, [ns.qualified(t) for t in tables]).items() if not there]
+    if missing:
+        raise ValueError(f"tables missing after the update: {missing}")
+    for t in tables:
+        df = spark.read.table(ns.qualified(t))
+        require_columns(df, struct(DDL[t]).fieldNames())
+        wrong = [c for c in schema_contract(df, DDL[t]) if not c["ok"]]
+        if wrong:
+            raise ValueError(f"{t} departs from its schema: {wrong}")
+        if df.isEmpty():
+            raise ValueError(f"{t} is empty after the update")
+
+
+def refresh_silver(spark: SparkSession, ns: Namespace) -> DataFrame:
     """Recompute silver from the bronze tables (batch reads) and overwrite it."""
     for t in (BRONZE_CUSTOMERS, BRONZE_ORDERS):
         spark.catalog.refreshTable(ns.qualified(t))
     customers = spark.read.table(ns.qualified(BRONZE_CUSTOMERS))
     orders = spark.read.table(ns.qualified(BRONZE_ORDERS))
-    build = customer_summary_as_written if as_written else customer_summary
-    summary = build(customers, orders)
+    summary = customer_summary(customers, orders)
     summary.write.insertInto(ns.qualified(SILVER_SUMMARY), overwrite=True)
     spark.catalog.refreshTable(ns.qualified(SILVER_SUMMARY))
     return spark.read.table(ns.qualified(SILVER_SUMMARY))
@@ -82,13 +118,14 @@ def run_update(
     checkpoint_root: str,
     *,
     location: str | None = None,
-    as_written: bool = False,
 ) -> DataFrame:
-    """One pipeline update. Returns the silver table."""
+    """One pipeline update, verified at its end. Returns the silver table."""
     create_namespace(spark, ns, location)
     for t in (BRONZE_CUSTOMERS, BRONZE_ORDERS, SILVER_SUMMARY):
         create_declared_table(spark, ns, t)
     root = checkpoint_root.rstrip("/")
+    for t in (BRONZE_CUSTOMERS, BRONZE_ORDERS):
+        bind_checkpoint(spark, ns, t, f"{root}/{t}")
     running = [
         start_ingest(
             read_landing_stream(spark, customers_landing, BRONZE_CUSTOMERS_DDL),
@@ -102,7 +139,9 @@ def run_update(
         ),
     ]
     await_all(running)
-    return refresh_silver(spark, ns, as_written)
+    silver = refresh_silver(spark, ns)
+    verify(spark, ns)
+    return silver
 
 
 def reset(spark: SparkSession, ns: Namespace, shared_root: str) -> str:

@@ -5,6 +5,7 @@ Every dataset carries a fixed DDL schema; nothing is inferred at read time.
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.types import (
     DataType,
     DoubleType,
@@ -46,6 +47,11 @@ DDL = {
 }
 
 
+def empty_like(spark: SparkSession, ddl: str) -> DataFrame:
+    """A batch DataFrame of a declared schema with no rows."""
+    return spark.createDataFrame([], struct(ddl))
+
+
 _TYPES: dict[str, DataType] = {
     "STRING": StringType(),
     "BIGINT": LongType(),

@@ -7,7 +7,6 @@ is absent (local tests, a laptop) is a folder of our own chosen and set.
 
 from __future__ import annotations
 
-import os
 import tempfile
 import uuid
 
@@ -28,7 +27,7 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
-        .config("spark.driver.memory", "16g")
+        .config("spark.driver.memory", "8g")
         .config("spark.sql.streaming.forceDeleteTempCheckpointLocation", "true")
     )
     spark = builder.getOrCreate()
@@ -48,7 +47,9 @@ def shared_root(spark: SparkSession) -> str:
     if not configured and sc is not None:
         configured = sc.getConf().get(CHECKPOINT_CONF, None)
     if not configured:
-        # Unset: local runs only. A cluster always names a shared folder.
+        if sc is None or not (sc.master == "local" or sc.master.startswith("local[")):
+            raise ValueError(f"name a folder that all executors share in {CHECKPOINT_CONF}")
+        # Unset in local mode: driver and tasks are one process, so a folder of our own will do.
         configured = tempfile.mkdtemp(prefix="strata-ckpt-")
         spark.conf.set(CHECKPOINT_CONF, configured)
     if sc is None:
@@ -61,12 +62,3 @@ def scratch_dir(spark: SparkSession, purpose: str) -> str:
     """A fresh, never reused folder under the shared root (one per run)."""
     root = shared_root(spark)
     return f"{root.rstrip('/')}/{purpose}-{uuid.uuid4().hex[:12]}"
-
-
-def local_path(path: str) -> str:
-    """Strip a ``file:`` scheme so local tests can look at files directly."""
-    if path.startswith("file:"):
-        path = path[len("file:"):]
-        while path.startswith("//"):
-            path = path[1:]
-    return os.path.abspath(path)

@@ -1,25 +1,21 @@
-"""Sources: CSV landing folders (batch and streaming), catalog tables, the
-test-table fixtures and the always-empty stub streams."""
+"""Sources: CSV landing folders (batch and streaming), and the
+test-table fixtures."""
 
 from strata.sources.landing import read_landing, read_landing_stream
 from strata.sources.tables import (
-    read_table,
     load,
     bronze_customers_from_tables,
     bronze_orders_from_tables,
-    urgent_orders_from_tables,
+    displaced_orders_from_tables,
     runs_from_events,
 )
-from strata.sources.rate import empty_stream
 
 __all__ = [
     "read_landing",
     "read_landing_stream",
-    "read_table",
     "load",
     "bronze_customers_from_tables",
     "bronze_orders_from_tables",
-    "urgent_orders_from_tables",
+    "displaced_orders_from_tables",
     "runs_from_events",
-    "empty_stream",
 ]

@@ -10,6 +10,7 @@ die together: drop the table and the old checkpoint would skip every file.
 
 from __future__ import annotations
 
+from pyspark.errors import StreamingQueryException
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming import StreamingQuery
 
@@ -39,13 +40,15 @@ def start_ingest(
 
 
 def await_all(queries: list[StreamingQuery]) -> None:
-    """Wait for every triggered run; raise the first failure."""
+    """Wait for every triggered run to end; then raise the first failure."""
+    failed = None
     for q in queries:
-        q.awaitTermination()
-    for q in queries:
-        err = q.exception()
-        if err is not None:
-            raise err
+        try:
+            q.awaitTermination()
+        except StreamingQueryException as e:
+            failed = failed or e
+    if failed is not None:
+        raise failed
 
 
 def ingest(stream: DataFrame, checkpoint: str, **target) -> None:

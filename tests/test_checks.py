@@ -1,10 +1,9 @@
 import pytest
 
 from strata.operators.rollup import customer_summary
-from strata.operators.scaffold import empty_like, silver_scaffold
 from strata.operators.preview import preview
 from strata.plans.checks import acceptance_checks, require_columns, schema_contract
-from strata.schemas import BRONZE_ORDERS_DDL, SILVER_SUMMARY_DDL
+from strata.schemas import BRONZE_ORDERS_DDL, SILVER_SUMMARY_DDL, empty_like
 from tests.fixtures import frames
 
 
@@ -69,10 +68,15 @@ def test_schema_contract_flags_wrong_names(spark):
         require_columns(renamed, ["order_id", "customer_id"])
 
 
-def test_empty_scaffold_and_preview(spark):
+def test_preview(spark):
     customers, orders = frames(spark)
-    scaffold = silver_scaffold(customers)
-    assert scaffold.count() == 0
-    assert scaffold.schema.simpleString() == empty_like(spark, SILVER_SUMMARY_DDL).schema.simpleString()
     top = preview(customer_summary(customers, orders), n=2).collect()
     assert [r["id"] for r in top] == ["1", "2"]
+
+
+def test_too_large_and_too_fine_amounts_are_reported(spark):
+    customers, orders = frames(
+        spark, ["1,A,EU,2024-01-01"], ["1,1,12345678901234567.00,2024-02-02", "2,1,1.00000000001,2024-02-02"]
+    )
+    out = {r["check"]: r["observed"] for r in acceptance_checks(customers, orders, empty_like(spark, SILVER_SUMMARY_DDL)).collect()}
+    assert out["bad_amounts"] == 1 and out["rounded_amounts"] == 1

@@ -40,3 +40,8 @@ def test_registration(spark, workdir):
     bronze = {f.target: f.func() for f in rec.flows if f.target.startswith("bronze")}
     assert all(df.isStreaming for df in bronze.values())
     assert "spark-pipeline" in {p.stem for p in ROOT.glob("*.yml")}
+
+
+def test_spec_names_a_catalog_and_a_storage_with_a_scheme():
+    spec = dict(line.split(": ", 1) for line in (ROOT / "spark-pipeline.yml").read_text().splitlines() if ": " in line and line[0].isalpha())
+    assert "://" in spec["storage"] and spec["catalog"]

@@ -1,6 +1,4 @@
-import pytest
-
-from strata.operators.gates import gate_summary, run_verdict
+from strata.operators.gates import gate_summary, run_breaches, run_verdict
 from strata.schemas import RUNS_DDL, struct
 
 
@@ -48,3 +46,15 @@ def test_grouped_summary_has_a_row_per_group_and_gate(spark):
     assert len(rows) == 4
     b = {(r["batch"], r["metric"]): r for r in rows}
     assert b[("b", "m1")]["passed_runs"] == 0 and b[("a", "m1")]["p50"] == 10
+
+
+def test_fewer_runs_than_asked_for_are_not_ready(spark):
+    row = run_verdict(_runs(spark, [(1, 10, 100, "pass")]), expected_cycles=5).first()
+    assert row["verdict"] == "NOT READY" and row["m3_pass"] is False
+    assert row["blockers"] == "1 of 5 cycles passed"
+
+
+def test_breaches_list_runs_over_a_limit(spark):
+    runs = _runs(spark, [(1, 120, 1501, "pass"), (2, 121, 100, "fail")])
+    got = {(r["cycle"], r["metric"], r["duration"]) for r in run_breaches(runs).collect()}
+    assert got == {(1, "m2", 1501.0), (2, "m1", 121.0)}

@@ -1,7 +1,10 @@
 """Pipeline update end to end on CSV landing folders; reset and rerun."""
 
+import os
 import uuid
 
+import pytest
+
 from strata.plans.checks import schema_contract, tables_exist
 from strata.plans.pipeline import Namespace, reset, run_update
 from strata.schemas import BRONZE_CUSTOMERS, BRONZE_ORDERS, SILVER_SUMMARY, SILVER_SUMMARY_DDL
@@ -28,7 +31,7 @@ def test_update_builds_three_tables_and_is_idempotent(spark, workdir):
     ckpt = f"{workdir}/ckpt"
     silver = run_update(spark, customers, orders, ns, ckpt, location=f"{workdir}/wh")
     assert {tuple(r) for r in silver.collect()} == EXPECTED_SILVER
-    assert all(tables_exist(spark, [BRONZE_CUSTOMERS, BRONZE_ORDERS, SILVER_SUMMARY], ns.schema).values())
+    assert all(tables_exist(spark, [ns.qualified(t) for t in (BRONZE_CUSTOMERS, BRONZE_ORDERS, SILVER_SUMMARY)]).values())
     assert all(c["ok"] for c in schema_contract(spark.read.table(ns.qualified(SILVER_SUMMARY)), SILVER_SUMMARY_DDL))
     comment = spark.sql(f"DESCRIBE TABLE EXTENDED {ns.qualified(SILVER_SUMMARY)}").where("col_name = 'Comment'").first()
     assert comment is not None and "roll-up" in comment["data_type"]
@@ -50,8 +53,25 @@ def test_reset_then_rerun_gives_the_same_state(spark, workdir):
     assert spark.read.table(ns.qualified(BRONZE_CUSTOMERS)).count() == len(CUSTOMER_ROWS)
 
 
-def test_as_written_plan_gives_the_same_table(spark, workdir):
+def test_kept_tables_with_another_checkpoint_raise_and_lose_nothing(spark, workdir):
     customers, orders = _land(workdir)
     ns = Namespace(schema=f"t_{uuid.uuid4().hex[:8]}")
-    silver = run_update(spark, customers, orders, ns, f"{workdir}/ckpt", location=f"{workdir}/wh", as_written=True)
-    assert {tuple(r) for r in silver.collect()} == EXPECTED_SILVER
+    run_update(spark, customers, orders, ns, f"{workdir}/ckpt", location=f"{workdir}/wh")
+    write_csv(f"{workdir}/landing/orders/o3.csv", ORDERS_HEADER, ["7,5,1.00,2025-01-01"])
+    with pytest.raises(ValueError, match="checkpoint"):
+        run_update(spark, customers, orders, ns, f"{workdir}/other", location=f"{workdir}/wh")
+    run_update(spark, customers, orders, ns, f"{workdir}/ckpt", location=f"{workdir}/wh")
+    assert spark.read.table(ns.qualified(BRONZE_ORDERS)).count() == len(ORDER_ROWS) + 1
+
+
+def test_planted_error_fails_then_the_corrected_drop_succeeds(spark, workdir):
+    customers, orders = _land(workdir)
+    ns = Namespace(schema=f"t_{uuid.uuid4().hex[:8]}")
+    write_csv(f"{workdir}/landing/orders/bad.csv", ORDERS_HEADER.replace("customer_id", "customerid"), ORDER_ROWS[:1])
+    with pytest.raises(Exception, match="customer"):
+        run_update(spark, customers, orders, ns, f"{workdir}/ckpt", location=f"{workdir}/wh")
+    assert not spark.streams.active
+    os.remove(f"{workdir}/landing/orders/bad.csv")
+    write_csv(f"{workdir}/landing/orders/bad.csv", ORDERS_HEADER, ["7,5,1.00,2025-01-01"])
+    run_update(spark, customers, orders, ns, f"{workdir}/ckpt", location=f"{workdir}/wh")
+    assert spark.read.table(ns.qualified(BRONZE_ORDERS)).count() == len(ORDER_ROWS) + 1

@@ -6,7 +6,6 @@ import pytest
 
 from strata.schemas import BRONZE_CUSTOMERS_DDL, BRONZE_ORDERS_DDL, struct
 from strata.sources.landing import read_landing, read_landing_stream
-from strata.sources.rate import empty_stream
 from strata.streaming.ingest import ingest
 from tests.conftest import write_csv
 from tests.fixtures import CUSTOMER_ROWS, CUSTOMERS_HEADER, ORDER_ROWS, ORDERS_HEADER
@@ -59,15 +58,6 @@ def test_tables_dropped_with_old_checkpoint_come_back_empty(spark, workdir):
     assert _run(spark, landing, f"{workdir}/ckpt-new", f"{workdir}/sink3", BRONZE_CUSTOMERS_DDL) == 5
 
 
-def test_stub_stream_has_declared_schema_and_no_rows(spark, workdir):
-    stream = empty_stream(spark, BRONZE_CUSTOMERS_DDL)
-    assert stream.isStreaming
-    assert stream.schema.simpleString() == "struct<id:string,name:string,region:string,signup_date:string>"
-    ingest(stream, f"{workdir}/ckpt", path=f"{workdir}/sink")
-    out = f"{workdir}/sink"
-    assert not os.path.exists(out) or spark.read.schema(stream.schema).parquet(out).count() == 0
-
-
 def test_bounded_batches_and_archive(spark, workdir):
     landing, ckpt, sink, archive = f"{workdir}/in/orders", f"{workdir}/ckpt", f"{workdir}/sink", f"{workdir}/archive"
     for i, row in enumerate(ORDER_ROWS):
