@@ -48,8 +48,11 @@ def url_key(url: Column) -> Column:
     return F.concat(F.array_join(F.reverse(F.split(host, r"\.")), ","), F.lit(")"), F.regexp_replace(rest, r"^[^/?#]*", ""))
 
 
-def records(pages: DataFrame) -> DataFrame:
-    """(page_id, url_key, date, record): one WARC record as text for each page."""
+def records(pages: DataFrame, files: int) -> DataFrame:
+    """(page_id, url_key, date, record): one WARC record as text for each page, dealt over ``files`` partitions.
+
+    Which pages are revisits is found on ids and digests alone, so payloads are dealt once.
+    """
     payload = F.coalesce(F.col("html"), F.lit(""))
     rows = pages.select(
         F.col("page_id").cast("bigint"), "url", payload.alias("payload"), F.sha2(payload, 256).alias("digest"),
@@ -58,9 +61,14 @@ def records(pages: DataFrame) -> DataFrame:
     first = rows.where(F.col("size") >= MIN_REVISIT).groupBy("digest").agg(
         F.min("page_id").alias("first"), F.count(F.lit(1)).alias("n")
     )
-    first = first.where("n > 1").select(F.col("digest").alias("_digest"), "first")
-    rows = rows.join(first, F.col("digest") == F.col("_digest"), "left")
-    again = F.col("first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first"))
+    first = first.where("n > 1 AND first IS NOT NULL").select(F.col("digest").alias("_digest"), "first")
+    capture = F.concat_ws(":", F.coalesce(F.col("page_id").cast("string"), F.lit("null")), F.col("digest"))
+    rows = rows.withColumn("capture", capture)
+    later = rows.select("capture", "page_id", "digest").join(first, F.col("digest") == F.col("_digest"))
+    later = later.where(~F.col("page_id").eqNullSafe(F.col("first"))).groupBy(F.col("capture").alias("_capture"))
+    later = later.agg(F.min("first").alias("first"))
+    rows = rows.repartition(files, "capture").join(later, F.col("capture") == F.col("_capture"), "left")
+    again = F.col("first").isNotNull()
     spent = F.pmod(F.coalesce("page_id", F.lit(0)), F.lit(10**10))
     date = F.date_format(F.timestamp_seconds(F.unix_timestamp(F.lit(FIRST_DAY), "yyyy-MM-dd") + spent), "yyyy-MM-dd'T'HH:mm:ss'Z'")
     urn = lambda c: F.concat(F.lit("<urn:page:"), F.coalesce(c.cast("string"), F.lit("null")), F.lit(">"))
@@ -91,7 +99,7 @@ def write_archives(pages: DataFrame) -> str:
     path = scratch_dir(pages.sparkSession, "warc")
     total = pages.agg(F.sum(F.octet_length("html"))).first()[0] or 0
     files = 1 + total // FILE_BYTES
-    rows = records(pages).repartition(files, F.xxhash64("page_id", "url_key")).sortWithinPartitions("url_key", "date", "page_id")
+    rows = records(pages, files).sortWithinPartitions("url_key", "date", "page_id")
     rows.select("record").write.option("lineSep", END).option("compression", "gzip").text(path)
     return path
 
