@@ -10,8 +10,9 @@ them with a probability of 5e-8); every candidate is confirmed on full sets.
 
 Copies: documents with equal sets are one class, whose smallest doc_id stands
 for it. Within a bucket no list of pairs is made. First each member is held
-against the bucket's smallest one; the confirmed links are joined into
-components, and only members that are still in different components meet
+against the bucket's smallest one, in an eighth of the buckets and then, where
+that left the two in different components, in all others; the confirmed links
+are joined into components, and only members that are still in different components meet
 further hubs, more each round, until no bucket has a pair that is neither
 confirmed, refused, nor joined through others. In these rounds a pair is made only
 if its longer signatures agree: of ``LONG`` coordinates (further shifts of the same
@@ -37,6 +38,8 @@ from strata.llm.common import components, staged
 from strata.llm.tokens import grams, mix, pieces, powers
 
 BANDS, ROWS = 32, 4
+# One bucket of so many is in the first wave of the first round.
+FIRST_WAVE = 8
 # Hubs of a bucket in the second round; each later round has GROWTH times as many.
 HUBS, GROWTH = 16, 16
 # Coordinates of the longer signature, and how many must agree.
@@ -186,6 +189,24 @@ def _confirm(k: int, percent: int):
     return run
 
 
+def _contracted(pairs: DataFrame, joined: DataFrame) -> DataFrame:
+    """``pairs`` with ``c`` and ``d``, the components that ``a`` and ``b`` are in so far."""
+    of_a = joined.select(F.col("id").alias("a"), F.col("component").alias("c"))
+    of_b = joined.select(F.col("id").alias("b"), F.col("component").alias("d"))
+    both = pairs.join(of_b, "b", "left").join(of_a, "a", "left")
+    return both.withColumns({"c": F.coalesce("c", "a"), "d": F.coalesce("d", "b")})
+
+
+def _joined_further(joined: DataFrame, links: DataFrame) -> DataFrame:
+    """The components after ``links``: only components that a link touches are joined anew."""
+    between = _contracted(links, joined).where("c <> d").select("c", "d").distinct()
+    moved = staged(components(between, "c", "d", "minhash-star"), "minhash-moved")
+    to = moved.select(F.col("id").alias("component"), F.col("component").alias("to"))
+    kept = joined.join(to, "component", "left").select("id", F.coalesce("to", "component").alias("component"))
+    every = kept.unionByName(moved).groupBy("id").agg(F.min("component").alias("component"))
+    return staged(every, "minhash-components")
+
+
 def near_duplicates(documents: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """Per doc_id: ``n_shingles``, ``component_id`` (smallest id reachable), ``kept``."""
     texts = documents.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("bigint"), "text")
@@ -208,8 +229,10 @@ def near_duplicates(documents: DataFrame, k: int = 5, percent: int = 80) -> Data
     )
     hubs = rows.groupBy("key").agg(F.min("x").alias("hub"), F.count(F.lit(1)).alias("n")).where("n > 1")
     members = staged(rows.join(hubs.select("key", "hub", "n"), "key"), "minhash-buckets")
-    pairs = members.where("x <> hub").select(F.col("hub").alias("a"), F.col("x").alias("b")).distinct()
-    pairs = staged(pairs, "minhash-pairs")
+    # Each hub's pairs, in two waves: a pair of any first-wave bucket belongs to the first.
+    wave = F.when(F.expr(f"pmod(key, {FIRST_WAVE}) = 0"), 1).otherwise(2)
+    pairs = members.where("x <> hub").select(F.col("hub").alias("a"), F.col("x").alias("b"), wave.alias("wave"))
+    pairs = staged(pairs.groupBy("a", "b").agg(F.min("wave").alias("wave")), "minhash-pairs")
     needed = members.select(F.col("x").alias("doc_id")).distinct()
     held = staged(
         texts.groupBy("doc_id").agg(F.min("text").alias("text")).join(needed, "doc_id"), "minhash-texts"
@@ -221,9 +244,12 @@ def near_duplicates(documents: DataFrame, k: int = 5, percent: int = 80) -> Data
         both = pairs.join(right, "b").join(left, "a").select("a", "b", "text_a", "text_b")
         return staged(both.mapInArrow(_confirm(k, percent), "a bigint, b bigint, linked boolean"), "minhash-links")
 
-    tried = confirmed(pairs)
-    links = tried.where("linked")
-    joined = staged(components(links, "a", "b", "minhash-star"), "minhash-components")
+    tried = confirmed(pairs.where("wave = 1").select("a", "b"))
+    joined = staged(components(tried.where("linked"), "a", "b", "minhash-star"), "minhash-components")
+    # What the first wave has joined needs no further proof.
+    rest = _contracted(pairs.where("wave = 2"), joined).where("c <> d").select("a", "b")
+    more = confirmed(rest)
+    tried, joined = tried.unionByName(more), _joined_further(joined, more.where("linked"))
     # Only buckets of three and more can hold a pair that has not met.
     open_rows, marks = members.where("n > 2").select("key", "x"), None
     done, size = 1, HUBS
@@ -260,10 +286,7 @@ def near_duplicates(documents: DataFrame, k: int = 5, percent: int = 80) -> Data
         if not fresh.isEmpty():
             more = confirmed(fresh)
             tried = tried.unionByName(more)
-            found = more.where("linked")
-            if not found.isEmpty():
-                links = links.unionByName(found)
-                joined = staged(components(links, "a", "b", "minhash-star"), "minhash-components")
+            joined = _joined_further(joined, more.where("linked"))
         open_rows = left.select("key", "x")
         done, size = done + size, size * GROWTH
     of_class = classes.join(joined, classes["rep"] == joined["id"], "left").select(
