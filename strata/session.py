@@ -51,7 +51,6 @@ def shared_root(spark: SparkSession) -> str:
             raise ValueError(f"name a folder that all executors share in {CHECKPOINT_CONF}")
         # Unset in local mode: driver and tasks are one process, so a folder of our own will do.
         configured = tempfile.mkdtemp(prefix="strata-ckpt-")
-        spark.conf.set(CHECKPOINT_CONF, configured)
     if sc is None:
         return configured
     sc.setCheckpointDir(configured)
