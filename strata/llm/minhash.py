@@ -14,11 +14,14 @@ against the bucket's smallest one, in an eighth of the buckets and then, where
 that left the two in different components, in all others; the confirmed links
 are joined into components, and only members that are still in different components meet
 further hubs, more each round, until no bucket has a pair that is neither
-confirmed, refused, nor joined through others. In these rounds a pair is made only
-if its longer signatures agree: of ``LONG`` coordinates (further shifts of the same
-permutation, two bits each) a pair at 0.8 agrees in fewer than ``AGREE`` once in a
-million. So a group of near copies costs about one comparison a member, not one
-for each pair.
+confirmed, refused, nor joined through others. Which members are hubs follows from
+a hash of the id and the size of the bucket, so no bucket is sorted or numbered in
+one task. A pair is made in one of its buckets only (that of the least key both have),
+and only if its longer signatures agree: of ``LONG`` coordinates (further shifts of the same
+permutation, one bit each) a pair at the wanted similarity differs in more than ``_most_apart``
+once in a million. One pair of each member is proved first, the others only where that left
+the two in different components. So a group of near copies costs about one comparison a
+member, not one for each pair.
 
 Nulls: a null text is empty; rows with a null doc_id are left out (an id is
 needed to be linked). Repeated rows of one doc_id count once: the row with the
@@ -27,7 +30,10 @@ smallest text. Extra columns are ignored here and kept by ``keep_first``.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
+from functools import reduce
+from operator import add
 
 import numpy as np
 import pyarrow as pa
@@ -40,10 +46,12 @@ from strata.llm.tokens import grams, mix, pieces, powers
 BANDS, ROWS = 32, 4
 # One bucket of so many is in the first wave of the first round.
 FIRST_WAVE = 8
-# Hubs of a bucket in the second round; each later round has GROWTH times as many.
+# Hubs of a bucket, about, in the second round; each later round has GROWTH times as many.
 HUBS, GROWTH = 16, 16
-# Coordinates of the longer signature, and how many must agree.
-LONG, AGREE = 512, 397
+# Members of a bucket, about, that meet its hubs in one place; each such cell gets a copy of the hubs.
+CELL = 1024
+# Coordinates of the longer signature, a multiple of 64.
+LONG = 2048
 
 
 def _sets(hashes: np.ndarray, first: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -128,36 +136,42 @@ def _sketch(k: int):
 
 
 def _longer(k: int):
-    """(x, bits): two bits of each coordinate of the longer signature, 32 in a number; rows (doc_id, text)."""
+    """(x, n_shingles, bits): one bit of each coordinate of the longer signature, 64 in a number; rows (doc_id, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        place = np.arange(0, 64, 2, dtype=np.uint64)
+        place = np.arange(64, dtype=np.uint64)
         for batch in batches:
             for lo, hi, words in pieces(batch.column(1), lower=True):
                 values, offsets = _sets(words.hashes(), words.first, k)
-                begin = BANDS * ROWS
-                two = _signatures(values, offsets, begin, begin + LONG).astype(np.uint64) & np.uint64(3)
-                full = np.flatnonzero(np.diff(offsets))
-                packed = (two.reshape(len(full), LONG // 32, 32) << place).sum(2, dtype=np.uint64)
-                at = pa.array((np.arange(len(full) + 1) * (LONG // 32)).astype(np.int32))
+                sizes = np.diff(offsets)
+                full = np.flatnonzero(sizes)
+                packed = np.empty((len(full), LONG // 64), np.uint64)
+                for i in range(LONG // 64):
+                    begin = BANDS * ROWS + 64 * i
+                    bit = _signatures(values, offsets, begin, begin + 64).astype(np.uint64) & np.uint64(1)
+                    packed[:, i] = (bit << place).sum(1, dtype=np.uint64)
+                at = pa.array((np.arange(len(full) + 1) * (LONG // 64)).astype(np.int32))
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column(0).slice(lo, hi - lo).take(pa.array(full)),
+                        pa.array(sizes[full]),
                         pa.ListArray.from_arrays(at, pa.array(packed.reshape(-1).view(np.int64))),
                     ],
-                    ["x", "bits"],
+                    ["x", "n_shingles", "bits"],
                 )
 
     return run
 
 
-def _agree(a: str, b: str) -> Column:
-    """Whether enough coordinates of two longer signatures are equal."""
-    apart = F.lit(0)
-    for i in range(LONG // 32):
-        z = F.get(F.col(a), F.lit(i)).bitwiseXOR(F.get(F.col(b), F.lit(i)))
-        apart = apart + F.bit_count(z.bitwiseOR(F.shiftrightunsigned(z, 1)).bitwiseAND(F.lit(0x5555555555555555)))
-    return apart <= LONG - AGREE
+def _most_apart(percent: int) -> int:
+    """Coordinates in which the longer signatures of a pair at ``percent`` differ at most, but for one in a million."""
+    differs = (100 - percent) / 200
+    return min(LONG, math.ceil(LONG * differs + 5 * math.sqrt(LONG * differs * (1 - differs))))
+
+
+def _apart(mine: str, other: str) -> Column:
+    """How many coordinates of two longer signatures differ; the numbers are in columns of these prefixes."""
+    return reduce(add, (F.bit_count(F.col(f"{mine}{i}").bitwiseXOR(F.col(f"{other}{i}"))) for i in range(LONG // 64)))
 
 
 def _confirm(k: int, percent: int):
@@ -251,44 +265,62 @@ def near_duplicates(documents: DataFrame, k: int = 5, percent: int = 80) -> Data
     more = confirmed(rest)
     tried, joined = tried.unionByName(more), _joined_further(joined, more.where("linked"))
     # Only buckets of three and more can hold a pair that has not met.
-    open_rows, marks = members.where("n > 2").select("key", "x"), None
-    done, size = 1, HUBS
+    open_rows, marks = members.where("n > 2").select("key", "x", "n"), None
+    made, size = 0, HUBS
     while True:
         now = open_rows.join(joined, open_rows["x"] == joined["id"], "left").select(
-            "key", "x", F.coalesce("component", "x").alias("component")
-        )
-        mixed = now.groupBy("key").agg(
-            F.min("component").alias("least"), F.max("component").alias("most"), F.count(F.lit(1)).alias("n")
+            "key", "x", "n", F.coalesce("component", "x").alias("component")
         )
-        mixed = mixed.where(f"least <> most AND n > {done + 1}").select("key")
-        left = staged(now.join(mixed, "key"), "minhash-open")
+        mixed = now.groupBy("key").agg(F.min("component").alias("least"), F.max("component").alias("most"))
+        mixed = mixed.where("least <> most").select("key")
+        left = staged(now.where(f"n > {made}").join(mixed, "key"), "minhash-open")
         if left.isEmpty():
             break
         if marks is None:
             ids = left.select(F.col("x").alias("doc_id")).distinct()
-            marks = staged(held.join(ids, "doc_id").mapInArrow(_longer(k), "x bigint, bits array<bigint>"), "minhash-marks")
-        # The hubs of a bucket: its members from rank done to done + size.
-        ranked = left.join(marks, "x").selectExpr(
-            "key", "x", "component", "bits", "row_number() OVER (PARTITION BY key ORDER BY x) - 1 AS rank"
+            marks = held.join(ids, "doc_id").mapInArrow(_longer(k), "x bigint, n_shingles bigint, bits array<bigint>")
+            marks = staged(marks.join(sketch.select(F.col("doc_id").alias("x"), "keys"), "x"), "minhash-marks")
+        # Plain columns that hold no null keep the join's condition short.
+        bits = [F.coalesce(F.get("bits", F.lit(i)), F.lit(0)).alias(f"mine_{i}") for i in range(LONG // 64)]
+        marked = left.join(marks, "x").select(
+            "key", "x", "n", "component", "n_shingles", "keys", F.xxhash64("x").alias("draw"), *bits
+        )
+        cells = F.ceil(F.col("n") / CELL)
+        # The hubs of a bucket: those whose draw, as a share of all, is under size / n (and was not before).
+        share = F.expr(f"(draw / {2.0**64}D + 0.5D) * n")
+        hub = marked.where((share >= made) & (share < size)).select(
+            F.col("key").alias("hub_key"),
+            F.explode(F.sequence(F.lit(0).cast("bigint"), cells - 1)).alias("hub_cell"),
+            F.col("x").alias("hub"),
+            F.col("component").alias("c"),
+            F.col("n_shingles").alias("n_hub"),
+            F.col("draw").alias("d"),
+            F.col("keys").alias("hub_keys"),
+            *(F.col(f"mine_{i}").alias(f"hub_{i}") for i in range(LONG // 64)),
         )
-        ranked = staged(ranked, "minhash-ranked")
-        hub = ranked.where(f"rank >= {done} AND rank < {done + size}").select(
-            "key", F.col("x").alias("a"), F.col("component").alias("c"), F.col("rank").alias("r"), F.col("bits").alias("own")
+        meet = (
+            F.expr("key = hub_key AND cell = hub_cell AND c <> component AND draw >= d AND (draw > d OR x > hub)")
+            & F.expr(f"100 * least(n_shingles, n_hub) >= {percent} * greatest(n_shingles, n_hub)")
+            & (_apart("mine_", "hub_") <= _most_apart(percent))
+            & (F.col("key") == F.array_min(F.array_intersect("keys", "hub_keys")))
         )
         fresh = (
-            ranked.where(f"rank > {done}")
-            .join(hub, (ranked["key"] == hub["key"]) & F.expr("rank > r AND c <> component") & _agree("bits", "own"))
-            .select("a", F.col("x").alias("b"))
-            .distinct()
+            marked.withColumn("cell", F.pmod("draw", cells))
+            .join(hub, meet)
+            .select(F.least("hub", "x").alias("a"), F.greatest("hub", "x").alias("b"), F.col("x").alias("member"))
             .join(tried.select("a", "b"), ["a", "b"], "left_anti")
         )
         fresh = staged(fresh, "minhash-pairs")
         if not fresh.isEmpty():
-            more = confirmed(fresh)
-            tried = tried.unionByName(more)
+            one = fresh.groupBy("member").agg(F.min(F.struct("a", "b")).alias("p"))
+            first = confirmed(one.select("p.a", "p.b"))
+            joined = _joined_further(joined, first.where("linked"))
+            others = fresh.select("a", "b").join(first.select("a", "b"), ["a", "b"], "left_anti")
+            more = confirmed(_contracted(others, joined).where("c <> d").select("a", "b"))
+            tried = tried.unionByName(first).unionByName(more)
             joined = _joined_further(joined, more.where("linked"))
-        open_rows = left.select("key", "x")
-        done, size = done + size, size * GROWTH
+        open_rows = left.select("key", "x", "n")
+        made, size = size, size * GROWTH
     of_class = classes.join(joined, classes["rep"] == joined["id"], "left").select(
         *name, F.coalesce("component", "rep").alias("component_id")
     )
