@@ -32,7 +32,7 @@ def op2_circulant_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return winnowing.fingerprints(load(spark, sf_dir, "documents"))
+    return winnowing.fingerprints(load(spark, sf_dir, "documents"), winnowing.of_characters)
 
 
 def op4_warc_merge(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,10 +1,20 @@
 """Document fingerprints by winnowing.
 
-The words of a text are hashed, and each ``K`` consecutive ones make a k-gram
-hash. Of each window of ``WINDOW`` consecutive k-grams the one with the least
+The query winnows characters (``of_characters``): the text in lower case without its
+separators, each ``CHARS`` consecutive characters one k-gram, windows of ``CHAR_WINDOW``.
+Two texts that share a run of ``CHARS + CHAR_WINDOW - 1`` such characters share a
+fingerprint. A text of fewer than ``SHORT`` such characters has too few windows
+to be told from others: ``CHARS - 1`` characters that occur in no text are put before and
+behind it, and all its k-grams are chosen, so that one with any character left at
+its beginning or end is found again. Which form a text has follows from its length alone.
+
+``of_words`` is the coarse form, on words as they are: the words of a text are hashed,
+and each ``K`` consecutive ones make a k-gram hash; two texts need a common run of
+``K + WINDOW - 1`` words to be sure of a common fingerprint.
+
+In both, of each window of consecutive k-grams the one with the least
 hash is chosen, of equal ones the rightmost. Neighbouring windows mostly choose
-the same k-gram, which counts once, with its position. Two texts that share a run
-of ``K + WINDOW - 1`` words share a fingerprint at the same place of that run.
+the same k-gram, which counts once, with its position.
 
 A hash and its position are one number: the hash above, the position counted
 down below, so that the least number is the least hash and, of equal ones, the
@@ -12,7 +22,7 @@ rightmost. The least of a window comes from two windows of half its width.
 All of it is array code within a row: no row meets another but its neighbour.
 
 A text with fewer words than ``K`` has one k-gram of all its words; with fewer
-k-grams than ``WINDOW``, one window holds all. No word: an empty fingerprint.
+k-grams than a window, one window holds all. No word: an empty fingerprint.
 Null texts count as empty. Positions over 2**25 - 1 count as that.
 The likeness of two fingerprints is the share of common hashes in all hashes of
 either; two empty ones are alike (1).
@@ -26,12 +36,18 @@ next one's first row.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from strata.llm.common import words
+from strata.llm.common import SEPARATORS, words
 
 K, WINDOW = 4, 16
+# Of characters; a power of two each, the window too.
+CHARS, CHAR_WINDOW = 8, 8
+# From so many characters on, the three quarters that an edit leaves hold a whole window.
+SHORT = 32
 RANGE_ROWS = 4_000
 MAX_BOUNDS = 20_000
 # Bits of a hash and of a position.
@@ -39,8 +55,27 @@ _BITS, _PLACES = 32, 25
 _LAST = (1 << _PLACES) - 1
 
 
-def fingerprint(text: Column) -> Column:
-    """The chosen k-grams of a text, in order: hash * 2**25 + (2**25 - 1 - position)."""
+def _least(grams: Column, window: int) -> Column:
+    """The chosen of an array (bound in a one-element array) of packed k-grams, by windows of a power of two."""
+
+    def halves(width: int):
+        def least(g: Column) -> Column:
+            shifted = F.slice(g, width + 1, F.greatest(F.size(g) - width, F.lit(0)))
+            return F.zip_with(g, shifted, lambda a, b: F.least(a, b))
+
+        return least
+
+    # Each step is bound by a one-element array, so that it is computed once.
+    step, width = grams, 1
+    while width < window:
+        step = F.transform(step, halves(width))
+        width *= 2
+    windows = F.transform(step, lambda m: F.slice(m, 1, F.greatest(F.size(m) - window + 1, F.lit(1))))
+    return F.array_distinct(F.get(windows, F.lit(0)))
+
+
+def of_words(text: Column) -> Column:
+    """The chosen word k-grams of a text, in order: hash * 2**25 + (2**25 - 1 - position)."""
     hashes = F.transform(words(text), lambda w: F.xxhash64(w))
     none = F.array().cast("array<bigint>")
 
@@ -53,21 +88,32 @@ def fingerprint(text: Column) -> Column:
         grams = F.transform(F.sequence(F.lit(0), F.greatest(F.size(h) - K, F.lit(0))), at)
         return F.when(F.size(h) == 0, none).otherwise(grams)
 
-    def halves(width: int):
-        def least(g: Column) -> Column:
-            shifted = F.slice(g, width + 1, F.greatest(F.size(g) - width, F.lit(0)))
-            return F.zip_with(g, shifted, lambda a, b: F.least(a, b))
+    return _least(F.transform(F.array(hashes), gram), WINDOW)
 
-        return least
 
-    # Each step is bound by a one-element array, so that it is computed once.
-    step = F.transform(F.array(hashes), gram)
-    width = 1
-    while width < WINDOW:
-        step = F.transform(step, halves(width))
-        width *= 2
-    windows = F.transform(step, lambda m: F.slice(m, 1, F.greatest(F.size(m) - WINDOW + 1, F.lit(1))))
-    return F.array_distinct(F.get(windows, F.lit(0)))
+def of_characters(text: Column) -> Column:
+    """The chosen character k-grams of a text, in order, packed as in ``of_words``; positions of a short text count its padding."""
+    none = F.array().cast("array<bigint>")
+    # Four bytes a character, so that the place of each is known.
+    plain = F.encode(F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), SEPARATORS, ""), "utf-32")
+    pad = F.unhex(F.lit("FF" * 4 * (CHARS - 1)))
+
+    def grams(b: Column) -> Column:
+        def at(i: Column) -> Column:
+            hashed = F.xxhash64(F.substring(b, i * 4 + 1, F.lit(4 * CHARS)))
+            return F.shiftrightunsigned(hashed, 64 - _BITS - _PLACES).bitwiseOR(F.lit(_LAST)) - F.least(i, F.lit(_LAST))
+
+        return F.transform(F.sequence(F.lit(0), F.shiftright(F.length(b), 2) - CHARS), at)
+
+    def chosen(b: Column) -> Column:
+        padded = F.get(F.transform(F.array(F.concat(pad, b, pad)), grams), F.lit(0))
+        return (
+            F.when(F.length(b) == 0, none)
+            .when(F.length(b) < 4 * SHORT, F.array_distinct(padded))
+            .otherwise(_least(F.transform(F.array(b), grams), CHAR_WINDOW))
+        )
+
+    return F.get(F.transform(F.array(plain), chosen), F.lit(0))
 
 
 def written(chosen: Column) -> Column:
@@ -86,7 +132,7 @@ def likeness(x: Column, y: Column) -> Column:
     return F.when(all_of == 0, F.lit(1.0)).otherwise(both / (all_of - both))
 
 
-def with_next(documents: DataFrame) -> DataFrame:
+def with_next(documents: DataFrame, fingerprint: Callable[[Column], Column]) -> DataFrame:
     """(doc_id, text, next_text, chosen, hashes, next_hashes) for each row, in ranges of doc_id."""
     rows = documents.select(F.col("doc_id").cast("bigint"), F.coalesce("text", F.lit("")).alias("text"))
     total, nulls, least = rows.agg(
@@ -133,9 +179,9 @@ def edited(text: Column, other: Column) -> Column:
     return F.concat(F.substring(text, F.lit(1), n - quarter), F.substring(other, F.lit(1), quarter))
 
 
-def fingerprints(documents: DataFrame) -> DataFrame:
+def fingerprints(documents: DataFrame, fingerprint: Callable[[Column], Column] = of_words) -> DataFrame:
     """Per row: its fingerprint, its edited text's, and their likeness."""
-    rows = with_next(documents).withColumn("_edited", edited(F.col("text"), F.col("next_text")))
+    rows = with_next(documents, fingerprint).withColumn("_edited", edited(F.col("text"), F.col("next_text")))
     rows = rows.withColumn("_edited_chosen", fingerprint(F.col("_edited")))
     return rows.select(
         "doc_id",

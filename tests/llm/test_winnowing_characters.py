@@ -1,0 +1,65 @@
+"""Winnowing over characters against brute force, and what it finds again in short and unspaced texts."""
+
+import random
+import re
+
+import xxhash
+
+from strata.llm import queries, winnowing
+
+K, WINDOW, SHORT = winnowing.CHARS, winnowing.CHAR_WINDOW, winnowing.SHORT
+
+
+def _fingerprint(text):
+    units = [c.encode("utf-32-be") for c in re.sub(r"[\x20\x09-\x0D]+", "", (text or "").lower())]
+    short = len(units) < SHORT
+    if not units:
+        return []
+    pad = [b"\xff" * 4] * (K - 1) * short
+    units = pad + units + pad
+    grams = []
+    for i in range(len(units) - K + 1):
+        grams.append((xxhash.xxh64_intdigest(b"".join(units[i : i + K]), seed=42) >> 32, -i))
+    width, out = 1 if short else WINDOW, []
+    for i in range(len(grams) - width + 1):
+        best = min(grams[i : i + width])
+        if best not in out:
+            out.append(best)
+    return [(h << 25) + (1 << 25) - 1 + p for h, p in out]
+
+
+def _texts():
+    rng = random.Random(12)
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    unspaced = "".join(chr(0x4E00 + rng.randrange(3000)) for _ in range(400))
+    texts = [" ".join("".join(rng.choices(letters, k=rng.randrange(2, 9))) for _ in range(n)) for n in range(1, 31) for _ in range(3)]
+    # Each next text shares nothing with the one before it but by chance.
+    return [*texts, unspaced, "".join(rng.choices(letters, k=5000)), unspaced[:3] + unspaced[200:205]]
+
+
+def _with_next(texts):
+    for t, o in zip(texts, texts[1:] + texts[:1]):
+        q = len(t) // 4
+        yield t, t[: len(t) - q] + o[:q], o
+
+
+def test_characters_match_brute_force(spark):
+    texts = [*_texts(), "", "  \n", "é Ü\x0bß " * 30, "𝄞 Ab " * 20, "tie tie tie tie " * 40, "x", "y" * (SHORT - 1), "y" * SHORT, "Y " * SHORT]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id bigint, text string")
+    got = {r["doc_id"]: r for r in winnowing.fingerprints(df, winnowing.of_characters).collect()}
+    assert len(got) == len(texts)
+    for i, (t, e, o) in enumerate(_with_next(texts)):
+        a, b, c = ([v >> 25 for v in _fingerprint(x)] for x in (t, e, o))
+        like = lambda x, y: len(set(x) & set(y)) / len(set(x) | set(y)) if x or y else 1.0
+        assert got[i]["fingerprint"] == " ".join(map(str, _fingerprint(t)))
+        assert got[i]["edited_fingerprint"] == " ".join(map(str, _fingerprint(e)))
+        assert (got[i]["near_edited"], got[i]["near_next"]) == (like(a, b), like(a, c))
+
+
+def test_query_finds_edited_short_and_unspaced_texts(spark, tmp_path):
+    texts = _texts()
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id bigint, text string")
+    df.write.parquet(f"{tmp_path}/documents.parquet")
+    rows = queries.op3_winnowing(spark, str(tmp_path)).collect()
+    assert len(rows) == len(texts)
+    assert all(r["near_edited"] > 0 and r["near_edited"] > r["near_next"] for r in rows)
