@@ -109,3 +109,14 @@ def clean(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The documents that overlap with no benchmark item."""
     bad = overlaps(documents, benchmark).select(F.col("doc_id").alias("_bad_id")).distinct()
     return documents.join(bad, F.col("doc_id") == F.col("_bad_id"), "left_anti")
+
+
+def clean_all(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """As ``clean``, but rows with a null doc_id are decided, too: on the hash of their text."""
+    known = clean(documents.where("doc_id IS NOT NULL"), benchmark)
+    if documents.where("doc_id IS NULL").isEmpty():
+        return known
+    keyed = documents.where("doc_id IS NULL").withColumn("_key", F.sha2("text", 256))
+    texts = keyed.where("_key IS NOT NULL").select(F.col("_key").alias("doc_id"), "text").distinct()
+    bad = overlaps(texts, benchmark).select(F.col("doc_id").alias("_key")).distinct()
+    return known.unionByName(keyed.join(bad, "_key", "left_anti").select(*documents.columns))

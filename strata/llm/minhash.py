@@ -339,3 +339,21 @@ def keep_first(documents: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     kept = near_duplicates(documents, k, percent).where("kept").select(F.col("doc_id").alias("_kept_id"))
     known = documents.join(kept, documents["doc_id"].cast("bigint") == kept["_kept_id"], "left_semi")
     return known.unionByName(documents.where("doc_id IS NULL"))
+
+
+def keep_first_of_all(documents: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
+    """As ``keep_first``, but rows with a null doc_id are decided, too.
+
+    Their text's hash gives them a key over all ids (63 bits, less what the ids take), so
+    they give way to near copies that have an id; of equal texts without an id the least row stays.
+    """
+    nulls, most = documents.agg(F.count_if(F.col("doc_id").isNull()), F.max(F.col("doc_id").cast("bigint"))).first()
+    if not nulls:
+        return keep_first(documents, k, percent)
+    begin = 0 if most is None else most + 1
+    hashed = F.pmod(F.xxhash64(F.coalesce("text", F.lit(""))), F.lit((1 << 63) - 1 - begin)) + F.lit(begin)
+    keyed = documents.withColumn("_key", F.coalesce(F.col("doc_id").cast("bigint"), hashed))
+    kept = near_duplicates(keyed.select(F.col("_key").alias("doc_id"), "text"), k, percent).where("kept")
+    rows = keyed.join(kept.select(F.col("doc_id").alias("_key"), (F.col("n_shingles") > 0).alias("_full")), "_key")
+    one = rows.where("doc_id IS NULL AND _full").groupBy("_key").agg(F.min(F.struct(*documents.columns)).alias("_row"))
+    return rows.where("doc_id IS NOT NULL OR NOT _full").select(*documents.columns).unionByName(one.select("_row.*"))
