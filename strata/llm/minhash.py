@@ -25,7 +25,7 @@ member, not one for each pair.
 
 Nulls: a null text is empty; rows with a null doc_id are left out (an id is
 needed to be linked). Repeated rows of one doc_id count once: the row with the
-smallest text. Extra columns are ignored here and kept by ``keep_first``.
+smallest text that has a word. Extra columns are ignored here and kept by ``keep_first``.
 """
 
 from __future__ import annotations
@@ -224,13 +224,13 @@ def _joined_further(joined: DataFrame, links: DataFrame) -> DataFrame:
 def near_duplicates(documents: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """Per doc_id: ``n_shingles``, ``component_id`` (smallest id reachable), ``kept``."""
     texts = documents.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("bigint"), "text")
+    # One row for each doc_id, chosen once: sketch, proofs and longer signatures are all of its text.
+    full = F.when(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.col("text"))
+    texts = staged(texts.groupBy("doc_id").agg(F.min(full).alias("text")), "minhash-chosen")
     sketch = staged(
         texts.mapInArrow(
             _sketch(k), "doc_id bigint, n_shingles bigint, name_1 bigint, name_2 bigint, keys array<bigint>"
-        )
-        .groupBy("doc_id")
-        .agg(F.min(F.struct("n_shingles", "name_1", "name_2", "keys")).alias("s"))
-        .select("doc_id", "s.*"),
+        ),
         "minhash-sketch",
     )
     name = ["n_shingles", "name_1", "name_2"]
@@ -248,9 +248,7 @@ def near_duplicates(documents: DataFrame, k: int = 5, percent: int = 80) -> Data
     pairs = members.where("x <> hub").select(F.col("hub").alias("a"), F.col("x").alias("b"), wave.alias("wave"))
     pairs = staged(pairs.groupBy("a", "b").agg(F.min("wave").alias("wave")), "minhash-pairs")
     needed = members.select(F.col("x").alias("doc_id")).distinct()
-    held = staged(
-        texts.groupBy("doc_id").agg(F.min("text").alias("text")).join(needed, "doc_id"), "minhash-texts"
-    )
+    held = staged(texts.join(needed, "doc_id"), "minhash-texts")
 
     def confirmed(pairs: DataFrame) -> DataFrame:
         left = held.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a"))
