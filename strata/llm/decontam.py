@@ -13,8 +13,9 @@ Everything is DataFrame code: positions are exploded and hashed within one
 generated stage, and the seeds of the benchmark, counted first, are broadcast;
 beyond ``MAX_SEEDS`` they are joined by shuffle. Documents are whole.
 
-Null or empty texts have no seed, nor have items with fewer words than the
-shortest mask covers: neither is ever a hit. Rows with a null doc_id are not
+Items with fewer words than the shortest mask covers are hits where a document holds
+all their words in order; items of just as many words have a seed for each word
+left out besides. Null or empty texts have no seed and are never a hit. Rows with a null doc_id are not
 reported and are kept by ``clean``. Repeated documents give one row for each
 (doc_id, item_id). Extra columns are ignored here and kept by ``clean``.
 """
@@ -30,6 +31,7 @@ from strata.llm.common import broadcast_within, staged, words
 MASKS = ("1110111", "11011011", "10111101")
 MIN_SCORE = 10
 SUBSTITUTION = -2
+SHORTEST = min(map(len, MASKS))
 # Seeds of the benchmark (28 bytes each) that may be broadcast, and the words of its items.
 MAX_SEEDS = 2_000_000
 
@@ -51,6 +53,22 @@ def _seeds(df: DataFrame, hashes: str, at: str) -> DataFrame:
     return df.withColumn("seed", F.explode(F.array(*seeds)))
 
 
+def _short_seeds(df: DataFrame, hashes: str, at: str, lengths: list[int], whole: bool) -> DataFrame:
+    """A row for each window as long as a short item (``whole``: the text itself only): ``at``, seed.
+
+    Windows of SHORTEST words have a seed for each word left out, shorter ones one of all their words.
+    """
+    seeds = []
+    for n in lengths:
+        fits = F.size(hashes) == n if whole else F.col(at) + n <= F.size(hashes)
+        for out in range(n) if n == SHORTEST else (None,):
+            looked = [F.get(F.col(hashes), F.col(at) + j) for j in range(n) if j != out]
+            seeds.append(F.when(fits, F.xxhash64(F.lit(f"{n}:{out}"), *looked)))
+    df = df.where(F.size(hashes) > 0)
+    df = df.withColumn(at, F.lit(0) if whole else F.explode(F.sequence(F.lit(0), F.size(hashes) - 1)))
+    return df.withColumn("seed", F.explode(F.array(*seeds)))
+
+
 def _best(doc: Column, item: Column, shift: Column) -> Column:
     """The best-scoring stretch of the item laid over the document from ``shift`` on: (score, first, end)."""
     none = F.struct(
@@ -77,7 +95,11 @@ def overlaps(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
     """One row for each document and item that overlap: doc_id, item_id, score, first_word, n_words."""
     items = benchmark.select("item_id", _word_hashes(F.col("text")).alias("item")).where("item_id IS NOT NULL")
     items = staged(items.where(F.size("item") > 0).distinct(), "decontam-items")
-    seeds = staged(_seeds(items, "item", "j").where("seed IS NOT NULL").select("seed", "item_id", "item", "j"), "decontam-seeds")
+    lengths = sorted(r[0] for r in items.where(F.size("item") <= SHORTEST).select(F.size("item")).distinct().collect())
+    seeds = _seeds(items, "item", "j")
+    if lengths:
+        seeds = seeds.unionByName(_short_seeds(items, "item", "j", lengths, True))
+    seeds = staged(seeds.where("seed IS NOT NULL").select("seed", "item_id", "item", "j"), "decontam-seeds")
     n = seeds.count()
     seeds = broadcast_within(seeds.select("seed", F.col("item_id").alias("of"), "j", F.hash("item").alias("text_no")), n, MAX_SEEDS)
     # An item_id may come with several texts; each is held by its own words.
@@ -85,14 +107,18 @@ def overlaps(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
         items.select("item_id", "item", F.hash("item").alias("item_no")), n, MAX_SEEDS
     )
     docs = documents.where("doc_id IS NOT NULL").select("doc_id", _word_hashes(F.col("text")).alias("doc"))
-    hits = _seeds(docs, "doc", "i").join(seeds, "seed").withColumn("shift", F.col("i") - F.col("j"))
+    looked = _seeds(docs, "doc", "i")
+    if lengths:
+        looked = looked.unionByName(_short_seeds(docs, "doc", "i", lengths, False).where("seed IS NOT NULL"))
+    hits = looked.join(seeds, "seed").withColumn("shift", F.col("i") - F.col("j"))
     hits = hits.join(items, (F.col("of") == F.col("item_id")) & (F.col("text_no") == F.col("item_no")))
     found = hits.select(
         "doc_id", "item_id", "shift", F.size("item").alias("length"),
         _best(F.col("doc"), F.col("item"), F.col("shift")).alias("s"),
     )
     # One row for each alignment is enough, and the best alignment speaks for the pair.
-    good = found.where(F.col("s.best") >= F.least(F.lit(MIN_SCORE), F.col("length") - 3))
+    least = F.when(F.col("length") < SHORTEST, F.col("length")).otherwise(F.least(F.lit(MIN_SCORE), F.col("length") - 3))
+    good = found.where(F.col("s.best") >= least)
     best = good.groupBy("doc_id", "item_id").agg(
         F.max(F.struct(F.col("s.best"), (-F.col("shift")).alias("shift"), F.col("s.first"), F.col("s.end"))).alias("s")
     )
