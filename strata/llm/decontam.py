@@ -32,7 +32,7 @@ MASKS = ("1110111", "11011011", "10111101")
 MIN_SCORE = 10
 SUBSTITUTION = -2
 SHORTEST = min(map(len, MASKS))
-# Seeds of the benchmark (28 bytes each) that may be broadcast, and the words of its items.
+# Seeds of the benchmark (28 bytes each) that may be broadcast, and, counted by themselves, the words of its items.
 MAX_SEEDS = 2_000_000
 
 
@@ -101,10 +101,11 @@ def overlaps(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
         seeds = seeds.unionByName(_short_seeds(items, "item", "j", lengths, True))
     seeds = staged(seeds.where("seed IS NOT NULL").select("seed", "item_id", "item", "j"), "decontam-seeds")
     n = seeds.count()
+    n_words = items.agg(F.sum(F.size("item"))).first()[0] or 0
     seeds = broadcast_within(seeds.select("seed", F.col("item_id").alias("of"), "j", F.hash("item").alias("text_no")), n, MAX_SEEDS)
     # An item_id may come with several texts; each is held by its own words.
     items = broadcast_within(
-        items.select("item_id", "item", F.hash("item").alias("item_no")), n, MAX_SEEDS
+        items.select("item_id", "item", F.hash("item").alias("item_no")), n_words, MAX_SEEDS
     )
     docs = documents.where("doc_id IS NOT NULL").select("doc_id", _word_hashes(F.col("text")).alias("doc"))
     looked = _seeds(docs, "doc", "i")

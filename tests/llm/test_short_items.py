@@ -16,3 +16,11 @@ def test_items_of_few_words(spark):
     seven = {p for p in got if p[1] == 7}
     assert got.keys() - seven | {p for p in seven if p[0] >= 10} == expect
     assert got[(2, 3)] == (3, 1, 3) and got[(4, 6)] == (6, 0, 6) and got[(10, 7)] == (6, 2, 6)
+
+
+def test_broadcast_of_items_is_bound_by_their_words(spark, monkeypatch):
+    counted = []
+    monkeypatch.setattr(decontam, "broadcast_within", lambda df, rows, most: counted.append((df.columns, rows)) or df)
+    items = spark.createDataFrame([(i, f"a{i} b c") for i in range(50)], "item_id bigint, text string")
+    decontam.overlaps(spark.createDataFrame([(1, "x")], "doc_id bigint, text string"), items)
+    assert [rows for columns, rows in counted if "item" in columns] == [150]
