@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from strata.llm import (
     decontam,
+    dialogue,
     hash_tree,
     minhash,
     pii,
@@ -67,6 +68,10 @@ def op10_subword_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxic_scores(load(spark, sf_dir, "documents"), load(spark, sf_dir, "labels"))
 
 
+def op13_checkpointed_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dialogue.repair_damaged(load(spark, sf_dir, "conversations"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     own = [
         op1_substring_dedup,
@@ -79,6 +84,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         op8_spaced_seeds,
         op9_redirects,
         op10_subword_toxicity,
+        op13_checkpointed_repair,
     ]
     return {f.__name__: f for f in own}
 
