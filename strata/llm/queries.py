@@ -11,6 +11,7 @@ from strata.llm import (
     dialogue,
     hash_tree,
     minhash,
+    phrases,
     pii,
     poisson_mix,
     redirects,
@@ -68,6 +69,10 @@ def op10_subword_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxic_scores(load(spark, sf_dir, "documents"), load(spark, sf_dir, "labels"))
 
 
+def op11_phrase_tries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(load(spark, sf_dir, "documents"))
+
+
 def op13_checkpointed_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dialogue.repair_damaged(load(spark, sf_dir, "conversations"))
 
@@ -84,6 +89,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         op8_spaced_seeds,
         op9_redirects,
         op10_subword_toxicity,
+        op11_phrase_tries,
         op13_checkpointed_repair,
     ]
     return {f.__name__: f for f in own}
@@ -94,4 +100,5 @@ def oracle_sql() -> dict[str, str]:
         "op1_substring_dedup": substring_dedup.ORACLE,
         "op4_warc_merge": warc_index.ORACLE,
         "op9_redirects": redirects.ORACLE,
+        "op11_phrase_tries": phrases.ORACLE,
     }
