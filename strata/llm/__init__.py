@@ -1,5 +1,6 @@
 """Operators of a training-data pipeline: deduplication, fingerprints, archives,
-sharding, mixing, personal data, decontamination, URL rules and toxicity.
+sharding, mixing, personal data, decontamination, URL rules, toxicity, collocations,
+packing and conversation repair.
 
 Nothing else in the library imports this subpackage.
 """

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from strata.llm import (
+    curve_packing,
     decontam,
     dialogue,
     hash_tree,
@@ -73,6 +74,10 @@ def op11_phrase_tries(spark: SparkSession, sf_dir: str) -> DataFrame:
     return phrases.collocations(load(spark, sf_dir, "documents"))
 
 
+def op12_hilbert_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return curve_packing.pack(load(spark, sf_dir, "documents"))
+
+
 def op13_checkpointed_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dialogue.repair_damaged(load(spark, sf_dir, "conversations"))
 
@@ -90,6 +95,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         op9_redirects,
         op10_subword_toxicity,
         op11_phrase_tries,
+        op12_hilbert_packing,
         op13_checkpointed_repair,
     ]
     return {f.__name__: f for f in own}
