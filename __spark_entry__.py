@@ -304,9 +304,10 @@ LATERAL (SELECT concat_ws('; ',
 _BREACHES = """
 SELECT event_type, cycle, metric, duration, lim AS "limit"
 FROM (SELECT event_type, cycle, 'm1' AS metric, CAST(reset_duration AS DOUBLE) AS duration,
-             CAST(120.0 AS DOUBLE) AS lim FROM runs
+             CAST(120.0 AS DOUBLE) AS lim FROM runs WHERE outcome = 'pass'
       UNION ALL
-      SELECT event_type, cycle, 'm2', CAST(total_e2e_duration AS DOUBLE), CAST(1500.0 AS DOUBLE) FROM runs) s
+      SELECT event_type, cycle, 'm2', CAST(total_e2e_duration AS DOUBLE), CAST(1500.0 AS DOUBLE) FROM runs
+      WHERE outcome = 'pass') s
 WHERE duration > lim"""
 
 

@@ -7,14 +7,12 @@ passing runs, and ``all_pass`` (every passing run under the threshold, and at
 least one). A failed run is a flake. The verdict is READY when there is no
 flake, every gate passes and every run passed; otherwise it lists blockers.
 
-Counts and gates come from one aggregate; only the medians stack the metrics into
-a long (group, metric, duration) frame.
+The summary stacks the metrics into a long (group, metric, duration) frame and takes its figures in the
+median's first scan; the verdict needs no medians and comes from one aggregate.
 """
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -28,21 +26,6 @@ DEFAULT_GATES = {
 PASS = "pass"
 
 
-def _same(cols: list[str], left: str, right: str) -> Column:
-    return reduce(
-        lambda a, b: a & b, [F.col(f"{left}.{c}").eqNullSafe(F.col(f"{right}.{c}")) for c in cols]
-    )
-
-
-def _left_join(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
-    extra = [c for c in right.columns if c not in keys]
-    return (
-        left.alias("a")
-        .join(right.alias("b"), _same(keys, "a", "b"), "left")
-        .select("a.*", *[F.col(f"b.{c}").alias(c) for c in extra])
-    )
-
-
 def stack_gates(runs: DataFrame, group_by: list[str], gates: dict[str, tuple[str, float]]) -> DataFrame:
     """Passing runs as (group..., metric, duration, limit), one row per gate."""
     entries = F.array(
@@ -84,25 +67,38 @@ def gate_summary(
     """``group_by + [metric, min, max, p50, under_limit, passed_runs, all_pass]``."""
     group_by = list(group_by or [])
     gates = gates or DEFAULT_GATES
-    keys = group_by + ["metric"]
-    zero = F.lit(0.0)
+    passed = F.col("outcome") == PASS
     entries = F.array(
         *[
             F.struct(
                 F.lit(name).alias("metric"),
-                F.coalesce(F.col(f"_{name}_min"), zero).alias("min"),
-                F.coalesce(F.col(f"_{name}_max"), zero).alias("max"),
-                F.col(f"_{name}_under").alias("under_limit"),
-                F.col("cycles_passed").alias("passed_runs"),
-                _all_pass(name).alias("all_pass"),
+                F.when(passed, F.col(column).cast("double")).alias("duration"),
+                F.lit(float(limit)).alias("limit"),
+                F.coalesce(passed, F.lit(False)).alias("passed"),
             )
-            for name in gates
+            for name, (column, limit) in gates.items()
         ]
     )
-    figures = _per_group(runs, group_by, gates).select(*group_by, F.inline(entries))
-    medians = exact_median(stack_gates(runs, group_by, gates), keys, "duration", alias="_p50")
-    return _left_join(figures, medians, keys).select(
-        *keys, "min", "max", F.coalesce(F.col("_p50"), zero).alias("p50"), "under_limit", "passed_runs", "all_pass"
+    # A group without a passing run stays: its durations are null.
+    stacked = runs.select(*group_by, F.inline(entries))
+    zero = F.lit(0.0)
+    figures = {
+        "min": F.coalesce(F.min("duration"), zero),
+        "max": F.coalesce(F.max("duration"), zero),
+        "under_limit": F.count_if(F.col("duration") < F.col("limit")),
+        "passed_runs": F.count_if("passed"),
+    }
+    keys = [*group_by, "metric"]
+    out = exact_median(stacked, keys, "duration", alias="p50", more=figures)
+    all_pass = (F.col("under_limit") == F.col("passed_runs")) & (F.col("passed_runs") > 0)
+    return out.select(
+        *keys,
+        "min",
+        "max",
+        F.coalesce("p50", zero).alias("p50"),
+        "under_limit",
+        "passed_runs",
+        all_pass.alias("all_pass"),
     )
 
 
@@ -150,7 +146,9 @@ def run_breaches(
     group_by: list[str] | None = None,
     gates: dict[str, tuple[str, float]] | None = None,
 ) -> DataFrame:
-    """``group_by + [cycle, metric, duration, limit]`` of each run, passing or not, over a limit (strict ``>``)."""
+    """``group_by + [cycle, metric, duration, limit]`` of each passing run over a limit (strict ``>``).
+
+    A failed run is a flake; how long its phases took counts for nothing.
+    """
     group_by = list(group_by or [])
-    everything = runs.withColumn("outcome", F.lit(PASS))
-    return stack_gates(everything, [*group_by, "cycle"], gates or DEFAULT_GATES).where("duration > limit")
+    return stack_gates(runs, [*group_by, "cycle"], gates or DEFAULT_GATES).where("duration > limit")

@@ -1,23 +1,22 @@
-"""Exact median per group, without gathering any group into one task.
-
-Spark's exact ``percentile`` merges every distinct value of a group in one task.
-This is a radix select over an order-preserving 64-bit key of the value, at
-every size and as one lazy plan of plain aggregations and joins:
-
-1. A histogram of the top 16 bits per group also gives the group's size ``n``;
-   the target ranks are ``(n - 1) div 2`` and ``n div 2``.
-2. Three more rounds, 16 bits each: the rows whose higher bits match the prefix
-   found so far are counted per 16-bit digit (at most 65,536 histogram rows per
-   group and target, pre-aggregated in each task), and a cumulative count over
-   that bounded histogram picks the digit that holds the target rank.
-3. After four rounds the whole key is fixed. The median is the mean of the
-   values at the two ranks (one when ``n`` is odd).
-
-The state of a round has two rows a group. It meets the rows in a plain join on
-the group and prefix: Spark broadcasts the state when its measured size allows,
-and splits the side of a hot group when it does not. Values are mapped to keys with
-``Double.doubleToLongBits``; the sign trick makes signed-long order equal
-numeric order (NaN sorts last, as in Spark; -0.0 is folded into 0.0).
+"""Exact median per group in three scans, without gathering any group into one task.
+
+Spark's exact ``percentile`` merges every distinct value of a group in one task. Here, at
+every size alike:
+
+1. One aggregate sketches each group's quantiles (mergeable, of fixed size). Two of them, a
+   few sketch errors below and above the middle, bracket the median; the number of values
+   gives the ranks wanted, ``(n + 1) div 2`` and ``n div 2 + 1``.
+2. A second aggregate counts the values below the bracket and sketches those within it, which
+   narrows it to three of ``SEGMENTS`` parts: a bracket of about 8 / ``ACCURACY`` of the rows becomes
+   one of about 24 / (``ACCURACY`` * ``SEGMENTS``), whatever the distribution.
+3. Values below are counted, those in the narrow bracket counted by value, and a running sum over these
+   (at most some ten thousandths of a thousandth of a group's rows) finds the values at the wanted ranks.
+
+It is one lazy plan. The brackets, one row a group, meet the rows in plain joins: Spark broadcasts them when
+their size allows, and else splits the join's side of a hot group. Counts are exact at each step; should a rank
+lie outside its bracket, the query fails instead of giving a wrong value.
+
+NaN counts as the greatest value, as in Spark; -0.0 is 0.0; nulls are left out.
 """
 
 from __future__ import annotations
@@ -27,16 +26,11 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-_DIGIT_BITS = 16
-_ROUNDS = 64 // _DIGIT_BITS
-_DIGIT_MASK = (1 << _DIGIT_BITS) - 1
-_ALL = "_all"
-
-
-def order_key(v: Column) -> Column:
-    """Signed 64-bit key whose order is the numeric order of the double ``v``."""
-    bits = F.reflect(F.lit("java.lang.Double"), F.lit("doubleToLongBits"), v).cast("bigint")
-    return F.when(bits >= 0, bits).otherwise(bits.bitwiseXOR(F.lit(0x7FFFFFFFFFFFFFFF)))
+# Fixed values of the sketch: its relative error is 1 / ACCURACY; the first bracket reaches MARGIN errors
+# to either side of the middle, the second one is a part of SEGMENTS, with a part to either side.
+ACCURACY = 10_000
+MARGIN = 4
+SEGMENTS = 256
 
 
 def _normalized(v: Column) -> Column:
@@ -44,43 +38,68 @@ def _normalized(v: Column) -> Column:
     return F.when(d == 0.0, F.lit(0.0)).otherwise(d)
 
 
-def _histogram(rows: DataFrame, group: list[str], digit: Column) -> DataFrame:
-    return rows.groupBy(*group, digit.alias("_digit")).agg(F.count(F.lit(1)).alias("_c"), F.min("_v").alias("_value"))
+def _quantiles(v: Column, at: list[float]) -> Column:
+    return F.percentile_approx(v, [float(p) for p in at], ACCURACY)
 
 
-def _pick(hist: DataFrame, keys: list[str], prefix: Column) -> DataFrame:
-    """From a histogram with target ranks, the digit that holds each rank."""
-    upto = Window.partitionBy(*keys, "_t").orderBy("_digit").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    before = F.col("_cum") - F.col("_c")
-    return (
-        hist.withColumn("_cum", F.sum("_c").over(upto))
-        .where((before <= F.col("_rank")) & (F.col("_rank") < F.col("_cum")))
-        .select(*keys, "_t", (F.col("_rank") - before).alias("_rank"), prefix.alias("_prefix"), "_value")
-    )
+def _met(rows: DataFrame, brackets: DataFrame, group: list[str]) -> DataFrame:
+    """``rows`` (of the group's keys and ``_v``) with their group's bracket."""
+    side = brackets.select(*[F.col(k).alias(f"_b_{k}") for k in group], *[c for c in brackets.columns if c not in group])
+    same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_b_{k}")) for k in group], F.lit(True))
+    return rows.join(side, same).drop(*[f"_b_{k}" for k in group])
+
 
+def exact_median(
+    df: DataFrame, keys: list[str], value: str, alias: str = "median", more: dict[str, Column] | None = None
+) -> DataFrame:
+    """``keys + [alias]`` and the aggregates ``more`` (by name), one row per group of ``keys``. No keys: one group.
 
-def exact_median(df: DataFrame, keys: list[str], value: str, alias: str = "median") -> DataFrame:
-    """One row per group of ``keys`` that has a non-null value: ``keys + [alias]``. No keys: one group."""
-    group = list(keys) or [_ALL]
-    rows = df if keys else df.withColumn(_ALL, F.lit(1))
-    rows = rows.select(*group, _normalized(F.col(value)).alias("_v")).where(F.col("_v").isNotNull())
-    rows = rows.withColumn("_key", order_key(F.col("_v")))
-
-    top = _histogram(rows, group, F.shiftright("_key", 64 - _DIGIT_BITS))
-    n = F.sum("_c").over(Window.partitionBy(*group))
-    ranks = F.array_distinct(F.array(F.floor((F.col("_n") - 1) / 2), F.floor(F.col("_n") / 2)))
-    top = top.withColumn("_n", n).withColumn("_t", F.explode(ranks)).withColumn("_rank", F.col("_t"))
-    state = _pick(top, group, F.col("_digit"))
-
-    for r in range(1, _ROUNDS):
-        shift = 64 - _DIGIT_BITS * (r + 1)
-        probe = state.select(*[F.col(k).alias(f"_p_{k}") for k in group], "_t", "_rank", "_prefix")
-        same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_p_{k}")) for k in group])
-        met = rows.join(probe, same & (F.shiftright("_key", shift + _DIGIT_BITS) == F.col("_prefix")))
-        digit = F.shiftright("_key", shift).bitwiseAND(F.lit(_DIGIT_MASK))
-        hist = _histogram(met, [*group, "_t", "_rank", "_prefix"], digit)
-        state = _pick(hist, group, F.shiftleft(F.col("_prefix"), _DIGIT_BITS).bitwiseOR(F.col("_digit")))
-
-    # One target: its value; two targets: their mean, (a + b) / 2.
-    middle = F.when(F.count(F.lit(1)) == 1, F.min("_value")).otherwise(F.sum("_value") / 2)
-    return state.groupBy(*group).agg(middle.alias(alias)).select(*keys, alias)
+    Without ``more`` groups whose values are all null are left out; with it they have a null median.
+    """
+    every = more is not None
+    more = more or {}
+    rows = df.select(*keys, _normalized(F.col(value)).alias("_v"))
+    near = MARGIN / ACCURACY
+    first = df.withColumn("_v", _normalized(F.col(value))).groupBy(*keys).agg(
+        F.count("_v").alias("_n"),
+        _quantiles(F.col("_v"), [0.5 - near, 0.5 + near]).alias("_bracket"),
+        *[c.alias(name) for name, c in more.items()],
+    )
+    # What is fixed for a group goes along as grouping columns, so that no scan is needed twice.
+    fixed = [*keys, "_n", *more]
+    bracket = first.where(F.lit(every) | (F.col("_n") > 0)).select(
+        *fixed, F.col("_bracket")[0].alias("_lo"), F.col("_bracket")[1].alias("_hi")
+    )
+    low_rank, high_rank = F.expr("(_n + 1) div 2"), F.expr("_n div 2 + 1")
+    inside = (F.col("_v") >= F.col("_lo")) & (F.col("_v") <= F.col("_hi"))
+    second = _met(rows, bracket, keys).groupBy(*fixed).agg(
+        F.count_if(F.col("_v") < F.col("_lo")).alias("_below"),
+        F.count_if(inside).alias("_within"),
+        _quantiles(F.when(inside, F.col("_v")), [i / SEGMENTS for i in range(SEGMENTS + 1)]).alias("_parts"),
+    )
+    # Ranks within the bracket; the part that holds each, and one more to either side.
+    begin = F.expr(f"greatest(0, (((_n + 1) div 2 - _below - 1) * {SEGMENTS}) div _within - 1)")
+    end = F.expr(f"least({SEGMENTS}, ((_n div 2 + 1 - _below) * {SEGMENTS}) div _within + 2)")
+    held = (low_rank > F.col("_below")) & (high_rank <= F.col("_below") + F.col("_within"))
+    missed = F.raise_error(F.lit("a median lies outside its bracket")).cast("double")
+
+    def part(i: Column) -> Column:
+        return F.when(F.col("_n") == 0, None).when(held, F.get("_parts", i.cast("int"))).otherwise(missed)
+
+    narrow = second.select(*fixed, part(begin).alias("_lo"), part(end).alias("_hi"))
+    # Values below the narrow bracket are one row, as null; so is a group without values.
+    third = _met(rows, narrow, keys).where((F.col("_v") <= F.col("_hi")) | (F.col("_n") == 0))
+    third = third.groupBy(*fixed, F.when(F.col("_v") >= F.col("_lo"), F.col("_v")).alias("_value"))
+    third = third.agg(F.count(F.lit(1)).alias("_c"))
+    upto = Window.partitionBy(*fixed).orderBy(F.col("_value").asc_nulls_first())
+    third = third.withColumn("_upto", F.sum("_c").over(upto.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+
+    def at(rank: Column) -> Column:
+        here = (F.col("_upto") - F.col("_c") < rank) & (rank <= F.col("_upto"))
+        return F.max(F.when(here, F.col("_value")))
+
+    low, high = F.col("_low"), F.col("_high")
+    found = third.groupBy(*fixed).agg(at(low_rank).alias("_low"), at(high_rank).alias("_high"))
+    middle = F.when(F.col("_n") == 0, None).when(low.isNull() | high.isNull(), missed)
+    middle = middle.when(low == high, low).otherwise((low + high) / 2)
+    return found.select(*keys, middle.alias(alias), *more)

@@ -10,7 +10,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 CHECKPOINT_CONF = "spark.checkpoint.dir"
 
@@ -61,3 +61,15 @@ def scratch_dir(spark: SparkSession, purpose: str) -> str:
     """A fresh, never reused folder under the shared root (one per run)."""
     root = shared_root(spark)
     return f"{root.rstrip('/')}/{purpose}-{uuid.uuid4().hex[:12]}"
+
+
+def staged(df: DataFrame, purpose: str) -> DataFrame:
+    """``df`` written to a fresh table in the shared folder and read again.
+
+    Cuts the lineage (a lost executor costs no recomputation of what came before) and gives
+    what follows the table's true size.
+    """
+    spark = df.sparkSession
+    path = scratch_dir(spark, purpose)
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
