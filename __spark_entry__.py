@@ -9,6 +9,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from strata import queries as more_queries
 from strata.operators.gates import gate_summary, run_breaches, run_verdict
 from strata.plans.checks import acceptance_checks
 from strata.plans.pipeline import Namespace, reset, run_update
@@ -30,7 +31,9 @@ from strata.sources.tables import (
 try:  # this subpackage and its pipeline may be left out
     import corpus_pipeline
     from strata.llm import queries as llm_queries
-except ImportError:
+except ModuleNotFoundError as e:
+    if e.name not in ("corpus_pipeline", "strata.llm"):
+        raise
     corpus_pipeline = llm_queries = None
 
 SMOKE_DIR = "/root/testdata/sf0.001"
@@ -86,7 +89,7 @@ def _run_verdict(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # Split date of the two order drops: the first drop holds older orders, the
 # second the rest (including any without a date); together they are the table.
-DROP_SPLIT = "1995-01-01"
+DROP_SPLIT = "1998-01-01"
 
 
 def _land_orders(spark: SparkSession, sf_dir: str, landing: str) -> list[str]:
@@ -173,6 +176,7 @@ def _own_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "run_gates": _run_gates,
         "run_verdict": _run_verdict,
         "run_breaches": _run_breaches,
+        **more_queries.queries(),
     }
 
 
@@ -401,4 +405,5 @@ def _own_oracle_sql() -> dict[str, str]:
         "pipeline_end_to_end": silver,
         "run_gates": f"WITH {_RUNS} SELECT * FROM gates",
         "run_verdict": f"WITH {_RUNS} {_VERDICT}",
+        **more_queries.oracle_sql(_BRONZE_CUSTOMERS, _BRONZE_ORDERS, _DISPLACED_ORDERS, _DEFECTS, _silver_sql),
     }

@@ -152,3 +152,18 @@ def run_breaches(
     """
     group_by = list(group_by or [])
     return stack_gates(runs, [*group_by, "cycle"], gates or DEFAULT_GATES).where("duration > limit")
+
+
+def failure_phases(runs: DataFrame, group_by: list[str] | None = None) -> DataFrame:
+    """``group_by + [failure_phase, flakes, first_cycle, seconds]``: failed runs by the phase they ended in.
+
+    ``seconds`` is what these runs took in all. A failed run without a phase counts under ``unknown``.
+    """
+    group_by = list(group_by or [])
+    failed = runs.where(F.col("outcome") != PASS)
+    phase = F.coalesce("failure_phase", F.lit("unknown")).alias("failure_phase")
+    return failed.groupBy(*group_by, phase).agg(
+        F.count(F.lit(1)).alias("flakes"),
+        F.min("cycle").cast("bigint").alias("first_cycle"),
+        F.coalesce(F.sum("total_e2e_duration"), F.lit(0)).cast("bigint").alias("seconds"),
+    )

@@ -30,17 +30,21 @@ def per_customer_orders(orders: DataFrame) -> DataFrame:
     """Orders reduced to one row per ``customer_id`` (partial + final aggregate)."""
     known = orders.where(F.col("customer_id").isNotNull())
     exact = F.coalesce(iso_date_is_exact("order_date"), F.lit(False))
-    totals = known.groupBy("customer_id").agg(
+    # Dates that are not ISO text (as a rule none) are groups of their own, so that the aggregate
+    # over all orders keeps its latest date as a DATE and needs no sort.
+    odd = F.when(~exact, F.col("order_date")).alias("_odd")
+    per_date = known.groupBy("customer_id", odd).agg(
         F.count("order_id").alias("_orders"),
         F.sum(amount_value("amount")).alias("_amount"),
         F.max(F.when(exact, F.col("order_date").try_cast("date"))).alias("_iso"),
     )
-    # Dates that are not ISO text: normally no row at all.
-    odd = known.where(F.col("order_date").isNotNull() & ~exact).groupBy(F.col("customer_id").alias("_odd_id")).agg(
-        F.max("order_date").alias("_odd")
+    totals = per_date.groupBy("customer_id").agg(
+        F.sum("_orders").alias("_orders"),
+        F.sum("_amount").alias("_amount"),
+        F.max("_iso").alias("_iso"),
+        F.max("_odd").alias("_odd"),
     )
-    joined = totals.join(odd, F.col("customer_id") == F.col("_odd_id"), "left")
-    return joined.select("customer_id", "_orders", "_amount", latest_date_text(F.col("_iso"), F.col("_odd")).alias("_last"))
+    return totals.select("customer_id", "_orders", "_amount", latest_date_text(F.col("_iso"), F.col("_odd")).alias("_last"))
 
 
 def customer_summary(customers: DataFrame, orders: DataFrame) -> DataFrame:

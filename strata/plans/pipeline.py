@@ -3,7 +3,7 @@
 ``run_update`` creates the namespace and the declared tables (schema and
 comment, empty until data arrives), starts both bronze ingests together as
 triggered streams, waits for both, and refreshes the silver table from the
-bronze tables as a full recompute (overwrite in place, metadata kept).
+bronze tables as a full recompute, published once it has passed its checks.
 
 ``reset`` drops the namespace with its tables and hands back a new
 checkpoint folder: a dropped table with an old checkpoint would come back
@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 
 from strata.operators.rollup import customer_summary
 from strata.plans.checks import require_columns, schema_contract, tables_exist
+from strata.plans.publish import publish_silver
 from strata.schemas import (
     BRONZE_CUSTOMERS,
     BRONZE_CUSTOMERS_DDL,
@@ -75,7 +76,10 @@ def bind_checkpoint(spark: SparkSession, ns: Namespace, table: str, checkpoint:
     """
     shown = spark.sql(f"SHOW TBLPROPERTIES {ns.qualified(table)}").where(F.col("key") == CHECKPOINT_PROPERTY).first()
     if shown is None:
-        spark.sql(f"ALTER TABLE {ns.qualified(table)} SET TBLPROPERTIES ('{CHECKPOINT_PROPERTY}' = '{checkpoint}')")
+        if not spark.read.table(ns.qualified(table)).isEmpty():
+            raise ValueError(f"{table} holds rows of an unknown checkpoint; reset the namespace to feed it from {checkpoint}")
+        quoted = checkpoint.replace("\\", "\\\\").replace("'", "\\'")
+        spark.sql(f"ALTER TABLE {ns.qualified(table)} SET TBLPROPERTIES ('{CHECKPOINT_PROPERTY}' = '{quoted}')")
     elif shown["value"] != checkpoint:
         raise ValueError(
             f"{table} is fed from checkpoint {shown['value']}, not {checkpoint}; reset the namespace to change it"
@@ -83,7 +87,7 @@ def bind_checkpoint(spark: SparkSession, ns: Namespace, table: str, checkpoint:
 
 
 def verify(spark: SparkSession, ns: Namespace) -> None:
-    """After an update: every table exists with its declared schema and has rows, or an error."""
+    """After an update: every table exists with its declared schema, or an error."""
     tables = (BRONZE_CUSTOMERS, BRONZE_ORDERS, SILVER_SUMMARY)
     missing = [t for t, there in tables_exist(spark, [ns.qualified(t) for t in tables]).items() if not there]
     if missing:
@@ -94,20 +98,16 @@ def verify(spark: SparkSession, ns: Namespace) -> None:
         wrong = [c for c in schema_contract(df, DDL[t]) if not c["ok"]]
         if wrong:
             raise ValueError(f"{t} departs from its schema: {wrong}")
-        if df.isEmpty():
-            raise ValueError(f"{t} is empty after the update")
 
 
 def refresh_silver(spark: SparkSession, ns: Namespace) -> DataFrame:
-    """Recompute silver from the bronze tables (batch reads) and overwrite it."""
+    """Recompute silver from the bronze tables (batch reads); publish it once it has passed its checks."""
     for t in (BRONZE_CUSTOMERS, BRONZE_ORDERS):
         spark.catalog.refreshTable(ns.qualified(t))
     customers = spark.read.table(ns.qualified(BRONZE_CUSTOMERS))
     orders = spark.read.table(ns.qualified(BRONZE_ORDERS))
     summary = customer_summary(customers, orders)
-    summary.write.insertInto(ns.qualified(SILVER_SUMMARY), overwrite=True)
-    spark.catalog.refreshTable(ns.qualified(SILVER_SUMMARY))
-    return spark.read.table(ns.qualified(SILVER_SUMMARY))
+    return publish_silver(spark, ns.qualified(SILVER_SUMMARY), summary, customers, orders, DDL[SILVER_SUMMARY])
 
 
 def run_update(

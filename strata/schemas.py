@@ -32,6 +32,12 @@ RUNS_DDL = (
     "seed_duration BIGINT, demo_duration BIGINT, verify_duration BIGINT, "
     "total_e2e_duration BIGINT, outcome STRING, failure_phase STRING"
 )
+# The metrics document of a run of cycles.
+METRICS_DDL = (
+    "dry_run_date STRING, total_cycles INT, hard_mode_cycle INT, "
+    f"cycles ARRAY<STRUCT<{', '.join(f.replace(' ', ': ', 1) for f in RUNS_DDL.split(', '))}>>, "
+    "notes ARRAY<STRING>"
+)
 
 # Table comments.
 COMMENTS = {

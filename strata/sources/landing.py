@@ -12,7 +12,9 @@ name is not read again; new data needs a new file name.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import uuid
+
+from pyspark.sql import Column, DataFrame, SparkSession
 
 from strata.schemas import struct
 
@@ -77,3 +79,28 @@ def write_csv_drop(df: DataFrame, folder: str) -> None:
 def drops_glob(landing: str) -> str:
     """All drop folders of one dataset's landing directory."""
     return f"{landing.rstrip('/')}/*"
+
+
+def upload(df: DataFrame, place: Column, files: int, folder: str, prefix: str = "part") -> None:
+    """Upload ``df`` as CSV files of fixed names, over older ones of these names.
+
+    Row by row ``place`` (0 to ``files`` - 1) tells the file ``<prefix>-<place>.csv``; the files are written in
+    parallel and then renamed. A stream does not read a path twice (see ``strata.sources.ledger``).
+    """
+    spark = df.sparkSession
+    staging = f"{folder.rstrip('/')}/.upload-{uuid.uuid4().hex[:12]}"
+    df.repartitionById(files, place.cast("int")).write.option("header", True).csv(staging)
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    system = hadoop.Path(folder).getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+    # At most ``files`` numbers; the writer may leave a file without rows, too.
+    full = {r[0] for r in df.select(place.cast("int")).distinct().collect()}
+    for status in system.globStatus(hadoop.Path(f"{staging}/part-*")):
+        part = status.getPath()
+        number = int(part.getName().split("-")[1])
+        if number not in full:
+            continue
+        target = hadoop.Path(f"{folder.rstrip('/')}/{prefix}-{number}.csv")
+        system.delete(target, False)
+        if not system.rename(part, target):
+            raise OSError(f"could not move an upload to {target}")
+    system.delete(hadoop.Path(staging), True)
