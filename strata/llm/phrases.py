@@ -54,6 +54,10 @@ PIECE = 4 << 20
 FILTER_BITS = 26
 # Phrases of a trie, about.
 SHARD = 1 << 20
+# Symbols of a row, about: rows of a bounded size keep the batches that tasks get small.
+ROW = 64
+# Keys that a task remembers, about.
+REMEMBERED = 1 << 22
 
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
@@ -180,7 +184,7 @@ class Filter:
 
 
 def _to_symbols(words: Filter):
-    """(lang, symbols) of each text that has a frequent word; 0 between what no phrase reaches over."""
+    """(lang, symbols) of the texts' frequent words, in rows of about ``ROW``; 0 between what no phrase reaches over."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -202,14 +206,18 @@ def _to_symbols(words: Filter):
                 zero = ~keep
                 keep[1:] |= zero[1:] & ~zero[:-1]
                 keep[0] = True
+                # Rows end where a text does, and at the first 0 behind every ROW symbols.
                 bounds = np.concatenate((at - cut.fresh, [len(out)]))[cut.first]
                 total = np.concatenate(([0], np.cumsum(keep)))
-                offsets = total[bounds]
-                lists = pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(out[keep].view(np.int64)))
-                known = np.concatenate(([0], np.cumsum(good)))[cut.first]
-                full = np.flatnonzero(np.diff(known))
-                rows = pa.RecordBatch.from_arrays([pa.array(names, pa.string()).take(pa.array(of)), lists], ["lang", "symbols"])
-                yield rows.take(pa.array(full))
+                values = out[keep]
+                zeros = np.concatenate((np.flatnonzero(values == 0), [len(values)]))
+                inner = zeros[np.searchsorted(zeros, np.arange(0, len(values), ROW))]
+                offsets = np.unique(np.concatenate((total[bounds], inner, [0, len(values)])))
+                own = np.searchsorted(total[bounds], offsets[:-1], "right") - 1
+                lists = pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(values.view(np.int64)))
+                known = np.concatenate(([0], np.cumsum(values != 0)))[offsets]
+                rows = [pa.array(names, pa.string()).take(pa.array(of[np.clip(own, 0, len(of) - 1)])), lists]
+                yield pa.RecordBatch.from_arrays(rows, ["lang", "symbols"]).take(pa.array(np.flatnonzero(np.diff(known))))
 
     return run
 
@@ -262,14 +270,23 @@ def _count_level(filters: list[Filter], level: int):
 
 
 def _candidates(filters: list[Filter]):
-    """(lang, phrase) once for each batch and phrase of two and more words that passes all filters."""
+    """(lang, phrase) once for each task and phrase of two and more words that passes all filters.
+
+    A task remembers the keys it has returned, up to ``REMEMBERED``; beyond these it may return one again.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = np.zeros(0, np.uint64)
         for batch in batches:
             for symbol, lang, names in _flat(batch):
+                fresh = []
                 for j, at, key in _alive(symbol, lang, names, filters, len(filters) + 1):
-                    _, first = np.unique(key, return_index=True)
-                    at = at[first]
+                    key, first = np.unique(key, return_index=True)
+                    there = np.searchsorted(seen, key)
+                    new = np.ones(len(key), bool)
+                    new[there < len(seen)] = seen[there[there < len(seen)]] != key[there < len(seen)]
+                    at = at[first[new]]
+                    fresh.append(key[new])
                     phrases = symbol[at[:, None] + np.arange(j)].reshape(-1).view(np.int64)
                     offsets = pa.array((np.arange(len(at) + 1) * j).astype(np.int32))
                     yield pa.RecordBatch.from_arrays(
@@ -279,6 +296,7 @@ def _candidates(filters: list[Filter]):
                         ],
                         ["lang", "phrase"],
                     )
+                seen = np.sort(np.concatenate([seen if len(seen) < REMEMBERED else seen[:0], *fresh]))
 
     return run
 
@@ -366,26 +384,22 @@ def _bases(parent: np.ndarray, symbol: np.ndarray, nodes: int) -> np.ndarray:
     base = np.zeros(nodes, np.int64)
     free = np.ones(2 * nodes + int(symbol.max(initial=0)) + 2, bool)
     free[0] = False
-    low, last = 1, 0
-    # Those with the most children first; what is left over holds the single ones.
+    low = 1
+    # Those with the most children first, each behind the one before; what is left over holds the single ones.
     for g in np.argsort(-many, kind="stable"):
         if many[g] == 1:
             break
         children = np.sort(symbol[order[begin[g] : begin[g] + many[g]]])
-        if many[g] != last:
-            low, last = 1, many[g]
+        window = int(np.clip((1 << 16) // many[g], 16, 512))
         while True:
-            while low + 512 + children[-1] - children[0] >= len(free):
+            while low + window + children[-1] - children[0] >= len(free):
                 free = np.concatenate((free, np.ones(len(free), bool)))
-            at = low + np.flatnonzero(free[low : low + 512])
-            fit = free[at[:, None] + (children - children[0])].all(1) if len(children) <= 4096 else None
-            if fit is None:
-                fit = np.array([free[a + (children - children[0])].all() for a in at])
-            hit = np.flatnonzero(fit)
+            at = low + np.flatnonzero(free[low : low + window])
+            hit = np.flatnonzero(free[at[:, None] + (children - children[0])].all(1))
             if len(hit):
                 low = int(at[hit[0]])
                 break
-            low += 512
+            low += window
         base[owner[g]] = low - children[0]
         free[low + (children - children[0])] = False
     single = many == 1
@@ -467,7 +481,9 @@ def frequent_phrases(documents: DataFrame, least: int = 100) -> tuple[DataFrame,
         filters.append(Filter.of(keys))
         if not filters[-1].bits.any():
             break
-    found = symbols.mapInArrow(_candidates(filters), "lang string, phrase array<bigint>").distinct()
+    # Tasks return a row for each candidate: as many tasks as cores, however many texts.
+    cores = spark.sparkContext.defaultParallelism
+    found = symbols.coalesce(cores).mapInArrow(_candidates(filters), "lang string, phrase array<bigint>").distinct()
     found = staged(found.unionByName(own.select("lang", F.array("symbol").alias("phrase"))), "phrases-candidates")
     shards = -(-found.count() // SHARD)
     dealt = found.withColumn("shard", F.pmod(F.xxhash64("lang", "phrase"), F.lit(max(1, shards))))
@@ -482,7 +498,7 @@ def frequent_phrases(documents: DataFrame, least: int = 100) -> tuple[DataFrame,
         if trie is None:
             continue
         shared = spark.sparkContext.broadcast(bytes(trie[0]))
-        part = symbols.mapInArrow(_count_phrases(shared, shard), "shard bigint, place bigint, n bigint")
+        part = symbols.coalesce(cores).mapInArrow(_count_phrases(shared, shard), "shard bigint, place bigint, n bigint")
         part = part.groupBy("shard", "place").agg(F.sum("n").alias("f")).where(F.col("f") >= least)
         place = built.where(F.col("shard") == shard).where("place IS NOT NULL").select("place", "lang", "phrase")
         counted.append(staged(place.join(part, "place").select("lang", "phrase", "f"), "phrases-counted"))

@@ -67,6 +67,8 @@ def test_collocations_against_brute_force(spark, monkeypatch, bits, shard, piece
     monkeypatch.setattr(phrases, "FILTER_BITS", bits)
     monkeypatch.setattr(phrases, "SHARD", shard)
     monkeypatch.setattr(phrases, "PIECE", piece)
+    monkeypatch.setattr(phrases, "ROW", 64 if bits == 26 else 3)
+    monkeypatch.setattr(phrases, "REMEMBERED", 1 << 22 if bits == 26 else 10)
     rows = texts(bits)
     frame = spark.createDataFrame([(*r, 1, "x") for r in rows], "text string, lang string, n int, phrase string")
     got = phrases.collocations(frame.repartition(3), least=20, top=50)
