@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from strata.session import scratch_dir
@@ -33,13 +33,28 @@ def staged(df: DataFrame, purpose: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def free(columns: list[str], *names: str) -> list[str]:
+    """``names``, each with underscores behind it until no column (and no other of them) is called so."""
+    taken, out = {c.lower() for c in columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def broadcast_within(df: DataFrame, rows: int, most: int) -> DataFrame:
     """Hint a broadcast of ``df`` (fixed-width rows, counted) within ``most`` rows."""
     return F.broadcast(df) if rows <= most else df
 
 
-def _signature(edges: DataFrame) -> tuple:
-    return tuple(edges.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("a", "b"))).first())
+def _observed(edges: DataFrame, purpose: str) -> tuple[DataFrame, tuple]:
+    """``edges`` staged, and their number and an order-free hash of them, observed by the write itself."""
+    seen = Observation()
+    named = edges.observe(seen, F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("a", "b")).alias("hash"))
+    edges = staged(named, purpose)
+    return edges, (seen.get["n"], seen.get["hash"])
 
 
 def components(links: DataFrame, left: str, right: str, purpose: str = "components") -> DataFrame:
@@ -52,12 +67,9 @@ def components(links: DataFrame, left: str, right: str, purpose: str = "componen
     Self links keep an id that has no other; null ends are left out.
     """
     pairs = links.select(F.col(left).alias("x"), F.col(right).alias("y")).where("x IS NOT NULL AND y IS NOT NULL")
-    edges = staged(
-        pairs.select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b")).distinct(), purpose
-    )
+    edges, before = _observed(pairs.select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b")).distinct(), purpose)
     alone = edges.where("a = b").select("a")
     edges = edges.where("a <> b")
-    before = _signature(edges)
     while before[0]:
         both = edges.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(
             edges.select(F.col("b").alias("u"), F.col("a").alias("v"))
@@ -74,8 +86,7 @@ def components(links: DataFrame, left: str, right: str, purpose: str = "componen
                 )
             )
         )
-        edges = staged(small.where("a <> b").distinct(), purpose)
-        after = _signature(edges)
+        edges, after = _observed(small.where("a <> b").distinct(), purpose)
         if after == before:
             break
         before = after

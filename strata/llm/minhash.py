@@ -10,18 +10,16 @@ them with a probability of 5e-8); every candidate is confirmed on full sets.
 
 Copies: documents with equal sets are one class, whose smallest doc_id stands
 for it. Within a bucket no list of pairs is made. First each member is held
-against the bucket's smallest one, in an eighth of the buckets and then, where
-that left the two in different components, in all others; the confirmed links
-are joined into components, and only members that are still in different components meet
-further hubs, more each round, until no bucket has a pair that is neither
-confirmed, refused, nor joined through others. Which members are hubs follows from
-a hash of the id and the size of the bucket, so no bucket is sorted or numbered in
-one task. A pair is made in one of its buckets only (that of the least key both have),
-and only if its longer signatures agree: of ``LONG`` coordinates (further shifts of the same
-permutation, one bit each) a pair at the wanted similarity differs in more than ``_most_apart``
-once in a million. One pair of each member is proved first, the others only where that left
-the two in different components. So a group of near copies costs about one comparison a
-member, not one for each pair.
+against the bucket's smallest one; the confirmed links are joined into components,
+and only members that are still in different components meet further hubs, more each
+round, until no bucket has a pair that is neither confirmed, refused, nor joined through
+others. Which members are hubs follows from a hash of the id and the size of the bucket, so no
+bucket is sorted or numbered in one task, and a large one is dealt into cells, each with a copy
+of the hubs. There numpy holds the longer signatures of members and hubs against each
+other, block by block: of ``LONG`` coordinates (further shifts of the same permutation, one
+bit each) a pair at the wanted similarity differs in more than ``_most_apart`` once in a million. Pairs
+that pass are made in one of their buckets only (that of the least key both have) and proved
+on their full sets. So a group of near copies costs about one comparison a member, not one for each pair.
 
 Nulls: a null text is empty; rows with a null doc_id are left out (an id is
 needed to be linked). Repeated rows of one doc_id count once: the row with the
@@ -32,22 +30,18 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
-from functools import reduce
-from operator import add
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
-from strata.llm.common import components, staged
+from strata.llm.common import components, free, staged
 from strata.llm.tokens import grams, mix, pieces, powers
 
 BANDS, ROWS = 32, 4
-# One bucket of so many is in the first wave of the first round.
-FIRST_WAVE = 8
 # Hubs of a bucket, about, in the second round; each later round has GROWTH times as many.
-HUBS, GROWTH = 16, 16
+HUBS, GROWTH = 16, 128
 # Members of a bucket, about, that meet its hubs in one place; each such cell gets a copy of the hubs.
 CELL = 1024
 # Coordinates of the longer signature, a multiple of 64.
@@ -135,26 +129,27 @@ def _sketch(k: int):
     return run
 
 
-def _longer(k: int):
-    """(x, n_shingles, bits): one bit of each coordinate of the longer signature, 64 in a number; rows (doc_id, text)."""
+def _marked(k: int):
+    """(x, n_shingles, bits): one bit of each coordinate of the longer signature, 64 in a number; rows (doc_id, set)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         place = np.arange(64, dtype=np.uint64)
         for batch in batches:
-            for lo, hi, words in pieces(batch.column(1), lower=True):
-                values, offsets = _sets(words.hashes(), words.first, k)
-                sizes = np.diff(offsets)
-                full = np.flatnonzero(sizes)
-                packed = np.empty((len(full), LONG // 64), np.uint64)
+            sets = batch.column(1)
+            ends = sets.offsets.to_numpy()
+            for lo in range(0, batch.num_rows, 64):
+                hi = min(batch.num_rows, lo + 64)
+                values = sets.values.to_numpy(zero_copy_only=False)[ends[lo] : ends[hi]].view(np.uint64)
+                packed = np.empty((hi - lo, LONG // 64), np.uint64)
                 for i in range(LONG // 64):
                     begin = BANDS * ROWS + 64 * i
-                    bit = _signatures(values, offsets, begin, begin + 64).astype(np.uint64) & np.uint64(1)
+                    bit = _signatures(values, ends[lo : hi + 1] - ends[lo], begin, begin + 64).astype(np.uint64) & np.uint64(1)
                     packed[:, i] = (bit << place).sum(1, dtype=np.uint64)
-                at = pa.array((np.arange(len(full) + 1) * (LONG // 64)).astype(np.int32))
+                at = pa.array((np.arange(hi - lo + 1) * (LONG // 64)).astype(np.int32))
                 yield pa.RecordBatch.from_arrays(
                     [
-                        batch.column(0).slice(lo, hi - lo).take(pa.array(full)),
-                        pa.array(sizes[full]),
+                        batch.column(0).slice(lo, hi - lo),
+                        pa.array(np.diff(ends[lo : hi + 1]).astype(np.int64)),
                         pa.ListArray.from_arrays(at, pa.array(packed.reshape(-1).view(np.int64))),
                     ],
                     ["x", "n_shingles", "bits"],
@@ -169,36 +164,98 @@ def _most_apart(percent: int) -> int:
     return min(LONG, math.ceil(LONG * differs + 5 * math.sqrt(LONG * differs * (1 - differs))))
 
 
-def _apart(mine: str, other: str) -> Column:
-    """How many coordinates of two longer signatures differ; the numbers are in columns of these prefixes."""
-    return reduce(add, (F.bit_count(F.col(f"{mine}{i}").bitwiseXOR(F.col(f"{other}{i}"))) for i in range(LONG // 64)))
+# Pairs of a cell's members and hubs that are held against each other at once.
+_BLOCK = 1 << 16
+
 
+def _meet(percent: int):
+    """Pairs (a, b) of a cell's hubs and members that may be links.
 
-def _confirm(k: int, percent: int):
-    """Keeps the pairs (a, b, text_a, text_b) whose sets are similar enough."""
+    Rows (key, cell, member, x, component, n_shingles, draw, bits, keys), sorted by the first three:
+    a cell's hubs come before its members.
+    """
+    most = _most_apart(percent)
+
+    def block(rows: pa.RecordBatch) -> tuple[np.ndarray, ...]:
+        plain = [rows.column(i).to_numpy(zero_copy_only=False) for i in (3, 4, 5, 6)]
+        wide = [rows.column(i).flatten().to_numpy(zero_copy_only=False) for i in (7, 8)]
+        return (*plain, wide[0].view(np.uint64).reshape(-1, LONG // 64), wide[1].reshape(-1, BANDS))
+
+    def pairs(key: int, hubs: list[tuple], members: tuple) -> Iterator[pa.RecordBatch]:
+        for x, c, n, draw, bits, keys in hubs:
+            step = max(1, _BLOCK // len(x))
+            for lo in range(0, len(members[0]), step):
+                y, d, m, own, marks, bands = (part[lo : lo + step] for part in members)
+                # Each pair once: the one drawn first is its hub.
+                good = (own[:, None] > draw) | ((own[:, None] == draw) & (y[:, None] > x))
+                good &= d[:, None] != c
+                good &= 100 * np.minimum(m[:, None], n) >= percent * np.maximum(m[:, None], n)
+                i, j = np.nonzero(good)
+                apart = np.zeros(len(i), np.int64)
+                for at in range(0, len(i), 1 << 14):
+                    some = slice(at, at + (1 << 14))
+                    apart[some] = np.bitwise_count(marks[i[some]] ^ bits[j[some]]).sum(1)
+                i, j = i[apart <= most], j[apart <= most]
+                # In one bucket only, that of the least key both have.
+                both = np.where(bands[i] == keys[j], bands[i], np.iinfo(np.int64).max).min(1, initial=np.iinfo(np.int64).max)
+                i, j = i[both == key], j[both == key]
+                if len(i):
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(np.minimum(y[i], x[j])), pa.array(np.maximum(y[i], x[j]))], ["a", "b"]
+                    )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, hubs = None, []
         for batch in batches:
-            step = 256
-            for lo in range(0, batch.num_rows, step):
-                part = batch.slice(lo, step)
-                sides = []
-                for c in (2, 3):
-                    own = []
-                    for _, _, words in pieces(part.column(c), lower=True):
-                        values, offsets = _sets(words.hashes(), words.first, k)
-                        own += [values[s:e] for s, e in zip(offsets[:-1], offsets[1:], strict=True)]
-                    sides.append(own)
-                good = []
-                for x, y in zip(*sides, strict=True):
-                    if min(len(x), len(y)) * 100 < percent * max(len(x), len(y)):
-                        good.append(False)
-                        continue
-                    both = len(np.intersect1d(x, y, assume_unique=True))
-                    good.append(both > 0 and 100 * both >= percent * (len(x) + len(y) - both))
-                yield pa.RecordBatch.from_arrays(
-                    [part.column(0), part.column(1), pa.array(good, pa.bool_())], ["a", "b", "linked"]
-                )
+            if not batch.num_rows:
+                continue
+            key, cell, member = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(3))
+            fresh = (key[1:] != key[:-1]) | (cell[1:] != cell[:-1]) | (member[1:] != member[:-1])
+            bounds = np.concatenate(([0], np.flatnonzero(fresh) + 1, [len(key)]))
+            for lo, hi in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
+                if (key[lo], cell[lo]) != at:
+                    at, hubs = (key[lo], cell[lo]), []
+                if not member[lo]:
+                    hubs.append(block(batch.slice(lo, hi - lo)))
+                elif hubs:
+                    yield from pairs(key[lo], hubs, block(batch.slice(lo, hi - lo)))
+
+    return run
+
+
+def _held(k: int):
+    """(doc_id, shingles): each text's set of shingle hashes, sorted; rows (doc_id, text)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lo, hi, words in pieces(batch.column(1), lower=True):
+                values, offsets = _sets(words.hashes(), words.first, k)
+                sets = pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(values.view(np.int64)))
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), sets], ["doc_id", "shingles"])
+
+    return run
+
+
+def _confirm(percent: int):
+    """(a, b, linked) of the pairs (a, b, set_a, set_b): whether the sets are similar enough."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sides = []
+            for c in (2, 3):
+                ends = batch.column(c).offsets.to_numpy()
+                sides.append((batch.column(c).values.to_numpy(zero_copy_only=False), ends[:-1], ends[1:]))
+            (left, a, b), (right, c, d) = sides
+            good = []
+            for s, e, t, u in zip(a.tolist(), b.tolist(), c.tolist(), d.tolist(), strict=True):
+                if min(e - s, u - t) * 100 < percent * max(e - s, u - t):
+                    good.append(False)
+                    continue
+                both = len(np.intersect1d(left[s:e], right[t:u], assume_unique=True))
+                good.append(both > 0 and 100 * both >= percent * (e - s + u - t - both))
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), batch.column(1), pa.array(good, pa.bool_())], ["a", "b", "linked"]
+            )
 
     return run
 
@@ -221,12 +278,19 @@ def _joined_further(joined: DataFrame, links: DataFrame) -> DataFrame:
     return staged(every, "minhash-components")
 
 
+def _chosen(documents: DataFrame) -> DataFrame:
+    """One row (doc_id, text) for each doc_id: sketches and proofs are all of its text."""
+    texts = documents.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
+    again = staged(texts.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("doc_id"), "minhash-again")
+    # Ids that come once (as a rule all) keep their row where it is.
+    full = F.when(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.col("text"))
+    one = texts.join(again, "doc_id", "left_semi").groupBy("doc_id").agg(F.min(full).alias("text"))
+    return texts.join(again, "doc_id", "left_anti").unionByName(one)
+
+
 def near_duplicates(documents: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """Per doc_id: ``n_shingles``, ``component_id`` (smallest id reachable), ``kept``."""
-    texts = documents.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("bigint"), "text")
-    # One row for each doc_id, chosen once: sketch, proofs and longer signatures are all of its text.
-    full = F.when(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.col("text"))
-    texts = staged(texts.groupBy("doc_id").agg(F.min(full).alias("text")), "minhash-chosen")
+    texts = _chosen(documents)
     sketch = staged(
         texts.mapInArrow(
             _sketch(k), "doc_id bigint, n_shingles bigint, name_1 bigint, name_2 bigint, keys array<bigint>"
@@ -243,25 +307,22 @@ def near_duplicates(documents: DataFrame, k: int = 5, percent: int = 80) -> Data
     )
     hubs = rows.groupBy("key").agg(F.min("x").alias("hub"), F.count(F.lit(1)).alias("n")).where("n > 1")
     members = staged(rows.join(hubs.select("key", "hub", "n"), "key"), "minhash-buckets")
-    # Each hub's pairs, in two waves: a pair of any first-wave bucket belongs to the first.
-    wave = F.when(F.expr(f"pmod(key, {FIRST_WAVE}) = 0"), 1).otherwise(2)
-    pairs = members.where("x <> hub").select(F.col("hub").alias("a"), F.col("x").alias("b"), wave.alias("wave"))
-    pairs = staged(pairs.groupBy("a", "b").agg(F.min("wave").alias("wave")), "minhash-pairs")
+    # Each hub's pairs; the sets of all that are in a bucket.
+    pairs = members.where("x <> hub").select(F.col("hub").alias("a"), F.col("x").alias("b")).distinct()
     needed = members.select(F.col("x").alias("doc_id")).distinct()
-    held = staged(texts.join(needed, "doc_id"), "minhash-texts")
-
-    def confirmed(pairs: DataFrame) -> DataFrame:
-        left = held.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a"))
-        right = held.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b"))
-        both = pairs.join(right, "b").join(left, "a").select("a", "b", "text_a", "text_b")
-        return staged(both.mapInArrow(_confirm(k, percent), "a bigint, b bigint, linked boolean"), "minhash-links")
-
-    tried = confirmed(pairs.where("wave = 1").select("a", "b"))
-    joined = staged(components(tried.where("linked"), "a", "b", "minhash-star"), "minhash-components")
-    # What the first wave has joined needs no further proof.
-    rest = _contracted(pairs.where("wave = 2"), joined).where("c <> d").select("a", "b")
-    more = confirmed(rest)
-    tried, joined = tried.unionByName(more), _joined_further(joined, more.where("linked"))
+    held = staged(texts.join(needed, "doc_id").mapInArrow(_held(k), "doc_id bigint, shingles array<bigint>"), "minhash-sets")
+
+    def confirmed(pairs: DataFrame) -> tuple[DataFrame, int]:
+        """The proved links and their number."""
+        left = held.select(F.col("doc_id").alias("a"), F.col("shingles").alias("set_a"))
+        right = held.select(F.col("doc_id").alias("b"), F.col("shingles").alias("set_b"))
+        both = pairs.join(right, "b").join(left, "a").select("a", "b", "set_a", "set_b")
+        seen = Observation()
+        links = both.mapInArrow(_confirm(percent), "a bigint, b bigint, linked boolean").where("linked").select("a", "b")
+        links = staged(links.observe(seen, F.count(F.lit(1)).alias("n")), "minhash-links")
+        return links, seen.get["n"]
+
+    joined = staged(components(confirmed(pairs)[0], "a", "b", "minhash-star"), "minhash-components")
     # Only buckets of three and more can hold a pair that has not met.
     open_rows, marks = members.where("n > 2").select("key", "x", "n"), None
     made, size = 0, HUBS
@@ -276,47 +337,22 @@ def near_duplicates(documents: DataFrame, k: int = 5, percent: int = 80) -> Data
             break
         if marks is None:
             ids = left.select(F.col("x").alias("doc_id")).distinct()
-            marks = held.join(ids, "doc_id").mapInArrow(_longer(k), "x bigint, n_shingles bigint, bits array<bigint>")
+            marks = held.join(ids, "doc_id").mapInArrow(_marked(k), "x bigint, n_shingles bigint, bits array<bigint>")
             marks = staged(marks.join(sketch.select(F.col("doc_id").alias("x"), "keys"), "x"), "minhash-marks")
-        # Plain columns that hold no null keep the join's condition short.
-        bits = [F.coalesce(F.get("bits", F.lit(i)), F.lit(0)).alias(f"mine_{i}") for i in range(LONG // 64)]
-        marked = left.join(marks, "x").select(
-            "key", "x", "n", "component", "n_shingles", "keys", F.xxhash64("x").alias("draw"), *bits
-        )
+        marked = left.withColumn("draw", F.xxhash64("x")).join(marks, "x")
         cells = F.ceil(F.col("n") / CELL)
         # The hubs of a bucket: those whose draw, as a share of all, is under size / n (and was not before).
         share = F.expr(f"(draw / {2.0**64}D + 0.5D) * n")
-        hub = marked.where((share >= made) & (share < size)).select(
-            F.col("key").alias("hub_key"),
-            F.explode(F.sequence(F.lit(0).cast("bigint"), cells - 1)).alias("hub_cell"),
-            F.col("x").alias("hub"),
-            F.col("component").alias("c"),
-            F.col("n_shingles").alias("n_hub"),
-            F.col("draw").alias("d"),
-            F.col("keys").alias("hub_keys"),
-            *(F.col(f"mine_{i}").alias(f"hub_{i}") for i in range(LONG // 64)),
-        )
-        meet = (
-            F.expr("key = hub_key AND cell = hub_cell AND c <> component AND draw >= d AND (draw > d OR x > hub)")
-            & F.expr(f"100 * least(n_shingles, n_hub) >= {percent} * greatest(n_shingles, n_hub)")
-            & (_apart("mine_", "hub_") <= _most_apart(percent))
-            & (F.col("key") == F.array_min(F.array_intersect("keys", "hub_keys")))
-        )
-        fresh = (
-            marked.withColumn("cell", F.pmod("draw", cells))
-            .join(hub, meet)
-            .select(F.least("hub", "x").alias("a"), F.greatest("hub", "x").alias("b"), F.col("x").alias("member"))
-            .join(tried.select("a", "b"), ["a", "b"], "left_anti")
+        own = ["x", "component", "n_shingles", "draw", "bits", "keys"]
+        hubs = marked.where((share >= made) & (share < size)).select(
+            "key", F.explode(F.sequence(F.lit(0).cast("bigint"), cells - 1)).alias("cell"), F.lit(False).alias("member"), *own
         )
-        fresh = staged(fresh, "minhash-pairs")
-        if not fresh.isEmpty():
-            one = fresh.groupBy("member").agg(F.min(F.struct("a", "b")).alias("p"))
-            first = confirmed(one.select("p.a", "p.b"))
-            joined = _joined_further(joined, first.where("linked"))
-            others = fresh.select("a", "b").join(first.select("a", "b"), ["a", "b"], "left_anti")
-            more = confirmed(_contracted(others, joined).where("c <> d").select("a", "b"))
-            tried = tried.unionByName(first).unionByName(more)
-            joined = _joined_further(joined, more.where("linked"))
+        others = marked.where(share >= made).select("key", F.pmod("draw", cells).alias("cell"), F.lit(True).alias("member"), *own)
+        dealt = hubs.unionByName(others).repartition("key", "cell").sortWithinPartitions("key", "cell", "member")
+        fresh = staged(dealt.mapInArrow(_meet(percent), "a bigint, b bigint"), "minhash-pairs")
+        links, linked = confirmed(fresh)
+        if linked:
+            joined = _joined_further(joined, links)
         open_rows = left.select("key", "x", "n")
         made, size = size, size * GROWTH
     of_class = classes.join(joined, classes["rep"] == joined["id"], "left").select(
@@ -334,8 +370,9 @@ def keep_first(documents: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
 
     Rows with a null doc_id stay; repeated rows of a kept doc_id all stay.
     """
-    kept = near_duplicates(documents, k, percent).where("kept").select(F.col("doc_id").alias("_kept_id"))
-    known = documents.join(kept, documents["doc_id"].cast("bigint") == kept["_kept_id"], "left_semi")
+    (kept_id,) = free(documents.columns, "_kept_id")
+    kept = near_duplicates(documents, k, percent).where("kept").select(F.col("doc_id").alias(kept_id))
+    known = documents.join(kept, documents["doc_id"].cast("bigint") == kept[kept_id], "left_semi")
     return known.unionByName(documents.where("doc_id IS NULL"))
 
 
@@ -350,8 +387,12 @@ def keep_first_of_all(documents: DataFrame, k: int = 5, percent: int = 80) -> Da
         return keep_first(documents, k, percent)
     begin = 0 if most is None else most + 1
     hashed = F.pmod(F.xxhash64(F.coalesce("text", F.lit(""))), F.lit((1 << 63) - 1 - begin)) + F.lit(begin)
-    keyed = documents.withColumn("_key", F.coalesce(F.col("doc_id").cast("bigint"), hashed))
-    kept = near_duplicates(keyed.select(F.col("_key").alias("doc_id"), "text"), k, percent).where("kept")
-    rows = keyed.join(kept.select(F.col("doc_id").alias("_key"), (F.col("n_shingles") > 0).alias("_full")), "_key")
-    one = rows.where("doc_id IS NULL AND _full").groupBy("_key").agg(F.min(F.struct(*documents.columns)).alias("_row"))
-    return rows.where("doc_id IS NOT NULL OR NOT _full").select(*documents.columns).unionByName(one.select("_row.*"))
+    key, full, row = free(documents.columns, "_key", "_full", "_row")
+    keyed = documents.withColumn(key, F.coalesce(F.col("doc_id").cast("bigint"), hashed))
+    kept = near_duplicates(keyed.select(F.col(key).alias("doc_id"), "text"), k, percent).where("kept")
+    rows = keyed.join(kept.select(F.col("doc_id").alias(key), (F.col("n_shingles") > 0).alias(full)), key)
+    # The least row by its JSON, which any type of column has.
+    whole = F.struct(*documents.columns)
+    one = rows.where(F.col("doc_id").isNull() & F.col(full)).groupBy(key).agg(F.min_by(whole, F.to_json(whole)).alias(row))
+    others = rows.where(F.col("doc_id").isNotNull() | ~F.col(full)).select(*documents.columns)
+    return others.unionByName(one.select(f"{row}.*"))
