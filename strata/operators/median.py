@@ -26,8 +26,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-# Fixed values of the sketch: its relative error is 1 / ACCURACY; the first bracket reaches MARGIN errors
-# to either side of the middle, the second one is a part of SEGMENTS, with a part to either side.
+# Fixed values of the sketches: the first one's relative error is 1 / ACCURACY, and the first bracket reaches MARGIN
+# errors to either side of the middle; the second one's error is a tenth of a part, and a part lies to either side.
 ACCURACY = 10_000
 MARGIN = 4
 SEGMENTS = 256
@@ -38,8 +38,8 @@ def _normalized(v: Column) -> Column:
     return F.when(d == 0.0, F.lit(0.0)).otherwise(d)
 
 
-def _quantiles(v: Column, at: list[float]) -> Column:
-    return F.percentile_approx(v, [float(p) for p in at], ACCURACY)
+def _quantiles(v: Column, at: list[float], accuracy: int) -> Column:
+    return F.percentile_approx(v, [float(p) for p in at], accuracy)
 
 
 def _met(rows: DataFrame, brackets: DataFrame, group: list[str]) -> DataFrame:
@@ -62,7 +62,7 @@ def exact_median(
     near = MARGIN / ACCURACY
     first = df.withColumn("_v", _normalized(F.col(value))).groupBy(*keys).agg(
         F.count("_v").alias("_n"),
-        _quantiles(F.col("_v"), [0.5 - near, 0.5 + near]).alias("_bracket"),
+        _quantiles(F.col("_v"), [0.5 - near, 0.5 + near], ACCURACY).alias("_bracket"),
         *[c.alias(name) for name, c in more.items()],
     )
     # What is fixed for a group goes along as grouping columns, so that no scan is needed twice.
@@ -75,7 +75,7 @@ def exact_median(
     second = _met(rows, bracket, keys).groupBy(*fixed).agg(
         F.count_if(F.col("_v") < F.col("_lo")).alias("_below"),
         F.count_if(inside).alias("_within"),
-        _quantiles(F.when(inside, F.col("_v")), [i / SEGMENTS for i in range(SEGMENTS + 1)]).alias("_parts"),
+        _quantiles(F.when(inside, F.col("_v")), [i / SEGMENTS for i in range(SEGMENTS + 1)], 10 * SEGMENTS).alias("_parts"),
     )
     # Ranks within the bracket; the part that holds each, and one more to either side.
     begin = F.expr(f"greatest(0, (((_n + 1) div 2 - _below - 1) * {SEGMENTS}) div _within - 1)")
