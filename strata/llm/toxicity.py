@@ -17,7 +17,8 @@ texts, with a model of fixed size.
 Null and empty texts have no word; their score is that of an empty window (the
 softmax's bias). Rows with a null doc_id are scored like others; repeated rows
 give repeated rows. Labels that are null or of no document are left out; of
-several labels of a document the highest counts. Without any label the score
+several labels of a document the highest counts, of several texts (that the fit
+may see) the least. Without any label the score
 is 0.5 for every text and nothing is rejected.
 """
 
@@ -173,7 +174,9 @@ def train(documents: DataFrame, labels: DataFrame, fit_on: Column | None = None)
     chosen = ids.where("toxic = 1").orderBy(draw, "doc_id").limit(MAX_FIT).unionByName(
         ids.where("toxic = 0").orderBy(draw, "doc_id").limit(MAX_FIT)
     )
-    sample = short.select("doc_id", "text").dropDuplicates(["doc_id"]).join(chosen, "doc_id")
+    # At most 2 * MAX_FIT ids: the texts stay where they are, and only the sample moves.
+    sample = short.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
+    sample = sample.groupBy("doc_id", "toxic").agg(F.min("text").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = pa.Table.from_batches(list(batches), schema=wanted).sort_by("doc_id").combine_chunks()
@@ -183,7 +186,7 @@ def train(documents: DataFrame, labels: DataFrame, fit_on: Column | None = None)
             yield pa.RecordBatch.from_pydict({"gram": [gram.tobytes()], "bias": [bias]})
 
     wanted = pa.schema([("doc_id", pa.int64()), ("text", pa.string()), ("toxic", pa.int32())])
-    sample = sample.select(F.col("doc_id").cast("bigint"), "text", "toxic").coalesce(1)
+    sample = sample.select(F.col("doc_id").cast("bigint"), "text", "toxic").repartition(1)
     found = sample.mapInArrow(run, "gram binary, bias double").first()
     return (bytes(found["gram"]), found["bias"]) if found else None
 
