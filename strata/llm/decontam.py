@@ -11,7 +11,7 @@ words in it, while chance hits and short common phrases are not.
 
 Everything is DataFrame code: positions are exploded and hashed within one
 generated stage, and the seeds of the benchmark, counted first, are broadcast;
-beyond ``MAX_SEEDS`` they are joined by shuffle. Documents are whole.
+beyond ``MAX_SEEDS`` they are joined by shuffle, without the words. Documents are whole.
 
 Items with fewer words than the shortest mask covers are hits where a document holds
 all their words in order; items of just as many words have a seed for each word
@@ -25,7 +25,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from strata.llm.common import broadcast_within, staged, words
+from strata.llm.common import broadcast_within, free, staged, words
 
 # 1 is looked at, 0 is ignored.
 MASKS = ("1110111", "11011011", "10111101")
@@ -40,21 +40,18 @@ def _word_hashes(text: Column) -> Column:
     return F.transform(words(F.lower(text)), lambda w: F.xxhash64(w))
 
 
-def _seeds(df: DataFrame, hashes: str, at: str) -> DataFrame:
-    """A row for each position and mask: ``at``, mask, seed."""
-    shortest = min(map(len, MASKS))
-    df = df.where(F.size(hashes) >= shortest)
-    df = df.withColumn(at, F.explode(F.sequence(F.lit(0), F.size(hashes) - shortest)))
+def _mask_seeds(hashes: str, at: str) -> list[Column]:
+    """The seed of each mask at a position, null where it reaches over the end."""
     seeds = []
     for m, mask in enumerate(MASKS):
         looked = [F.get(F.col(hashes), F.col(at) + j) for j, c in enumerate(mask) if c == "1"]
         fits = F.col(at) + len(mask) <= F.size(hashes)
         seeds.append(F.when(fits, F.xxhash64(F.lit(m), *looked)))
-    return df.withColumn("seed", F.explode(F.array(*seeds)))
+    return seeds
 
 
-def _short_seeds(df: DataFrame, hashes: str, at: str, lengths: list[int], whole: bool) -> DataFrame:
-    """A row for each window as long as a short item (``whole``: the text itself only): ``at``, seed.
+def _short_seeds(hashes: str, at: str, lengths: list[int], whole: bool) -> list[Column]:
+    """The seeds of windows as long as a short item (``whole``: of the text itself only) at a position.
 
     Windows of SHORTEST words have a seed for each word left out, shorter ones one of all their words.
     """
@@ -64,9 +61,18 @@ def _short_seeds(df: DataFrame, hashes: str, at: str, lengths: list[int], whole:
         for out in range(n) if n == SHORTEST else (None,):
             looked = [F.get(F.col(hashes), F.col(at) + j) for j in range(n) if j != out]
             seeds.append(F.when(fits, F.xxhash64(F.lit(f"{n}:{out}"), *looked)))
-    df = df.where(F.size(hashes) > 0)
-    df = df.withColumn(at, F.lit(0) if whole else F.explode(F.sequence(F.lit(0), F.size(hashes) - 1)))
-    return df.withColumn("seed", F.explode(F.array(*seeds)))
+    return seeds
+
+
+def _exploded(df: DataFrame, hashes: str, at: str, shortest: int, seeds: list[Column]) -> DataFrame:
+    """A row for each position and seed that there is: ``at``, seed.
+
+    One explode of positions and one of seeds, joined on in the same generated stage, so that
+    no row with a text's words is held but the one that is looked at.
+    """
+    df = df.where(F.size(hashes) >= shortest)
+    df = df.withColumn(at, F.explode(F.sequence(F.lit(0), F.size(hashes) - shortest)))
+    return df.withColumn("seed", F.explode(F.array(*seeds))).where("seed IS NOT NULL")
 
 
 def _best(doc: Column, item: Column, shift: Column) -> Column:
@@ -96,10 +102,11 @@ def overlaps(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
     items = benchmark.select("item_id", _word_hashes(F.col("text")).alias("item")).where("item_id IS NOT NULL")
     items = staged(items.where(F.size("item") > 0).distinct(), "decontam-items")
     lengths = sorted(r[0] for r in items.where(F.size("item") <= SHORTEST).select(F.size("item")).distinct().collect())
-    seeds = _seeds(items, "item", "j")
+    seeds = _exploded(items, "item", "j", SHORTEST, _mask_seeds("item", "j"))
     if lengths:
-        seeds = seeds.unionByName(_short_seeds(items, "item", "j", lengths, True))
-    seeds = staged(seeds.where("seed IS NOT NULL").select("seed", "item_id", "item", "j"), "decontam-seeds")
+        short = items.withColumn("j", F.lit(0)).withColumn("seed", F.explode(F.array(*_short_seeds("item", "j", lengths, True))))
+        seeds = seeds.unionByName(short.where("seed IS NOT NULL"))
+    seeds = staged(seeds.select("seed", "item_id", "item", "j"), "decontam-seeds")
     n = seeds.count()
     n_words = items.agg(F.sum(F.size("item"))).first()[0] or 0
     seeds = broadcast_within(seeds.select("seed", F.col("item_id").alias("of"), "j", F.hash("item").alias("text_no")), n, MAX_SEEDS)
@@ -108,10 +115,19 @@ def overlaps(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
         items.select("item_id", "item", F.hash("item").alias("item_no")), n_words, MAX_SEEDS
     )
     docs = documents.where("doc_id IS NOT NULL").select("doc_id", _word_hashes(F.col("text")).alias("doc"))
-    looked = _seeds(docs, "doc", "i")
-    if lengths:
-        looked = looked.unionByName(_short_seeds(docs, "doc", "i", lengths, False).where("seed IS NOT NULL"))
-    hits = looked.join(seeds, "seed").withColumn("shift", F.col("i") - F.col("j"))
+    if n > MAX_SEEDS:
+        docs = docs.withColumn("doc_no", F.xxhash64("doc"))
+    every = [*_mask_seeds("doc", "i"), *_short_seeds("doc", "i", lengths, False)]
+    looked = _exploded(docs, "doc", "i", min([SHORTEST, *lengths]), every)
+    if n <= MAX_SEEDS:
+        hits = looked.join(seeds, "seed").withColumn("shift", F.col("i") - F.col("j"))
+    else:
+        # Seeds travel without the words; these come back for what was hit.
+        small = looked.select("doc_id", "doc_no", "i", "seed")
+        hits = small.join(seeds, "seed").select("doc_id", "doc_no", "of", "text_no", (F.col("i") - F.col("j")).alias("shift"))
+        back = docs.select(F.col("doc_id").alias("back_id"), F.col("doc_no").alias("back_no"), "doc")
+        same = (F.col("doc_id") == F.col("back_id")) & (F.col("doc_no") == F.col("back_no"))
+        hits = hits.distinct().join(back, same)
     hits = hits.join(items, (F.col("of") == F.col("item_id")) & (F.col("text_no") == F.col("item_no")))
     found = hits.select(
         "doc_id", "item_id", "shift", F.size("item").alias("length"),
@@ -134,8 +150,9 @@ def overlaps(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 def clean(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The documents that overlap with no benchmark item."""
-    bad = overlaps(documents, benchmark).select(F.col("doc_id").alias("_bad_id")).distinct()
-    return documents.join(bad, F.col("doc_id") == F.col("_bad_id"), "left_anti")
+    (bad_id,) = free(documents.columns, "_bad_id")
+    bad = overlaps(documents, benchmark).select(F.col("doc_id").alias(bad_id)).distinct()
+    return documents.join(bad, F.col("doc_id") == F.col(bad_id), "left_anti")
 
 
 def clean_all(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
@@ -143,7 +160,8 @@ def clean_all(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
     known = clean(documents.where("doc_id IS NOT NULL"), benchmark)
     if documents.where("doc_id IS NULL").isEmpty():
         return known
-    keyed = documents.where("doc_id IS NULL").withColumn("_key", F.sha2("text", 256))
-    texts = keyed.where("_key IS NOT NULL").select(F.col("_key").alias("doc_id"), "text").distinct()
-    bad = overlaps(texts, benchmark).select(F.col("doc_id").alias("_key")).distinct()
-    return known.unionByName(keyed.join(bad, "_key", "left_anti").select(*documents.columns))
+    (key,) = free(documents.columns, "_key")
+    keyed = documents.where("doc_id IS NULL").withColumn(key, F.sha2("text", 256))
+    texts = keyed.where(F.col(key).isNotNull()).select(F.col(key).alias("doc_id"), "text").distinct()
+    bad = overlaps(texts, benchmark).select(F.col("doc_id").alias(key)).distinct()
+    return known.unionByName(keyed.join(bad, key, "left_anti").select(*documents.columns))
