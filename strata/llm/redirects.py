@@ -4,8 +4,9 @@ Explicit rules name a host and a path prefix and fit the host, its subdomains
 and all paths that begin with the prefix; the longest fitting rule decides a
 URL. A URL that no rule fits takes the decision of its aliases: URLs are nodes;
 edges lead from each page's URL to its canonical form (without ``www.`` or
-``m.``, fragment, tracking parameters, closing slash or ``.html``), to the target
-of its canonical link, and to that of its meta refresh. Components of that graph
+``m.``, fragment, tracking parameters, closing slash or ``.html``), to the targets
+of its canonical links, and to those of its meta refreshes (relative ones resolved against
+the page, ``&amp;`` read as ``&``). Components of that graph
 are found by distributed star contraction. If a member of the component has an
 explicit allow, its undecided members are allowed, else if one has a block they
 are blocked, else allowed.
@@ -72,15 +73,39 @@ def node(url: Column) -> Column:
     return F.when(rest(url) != "", F.concat(h, F.substring(rest(url), F.length(h) + 1, F.length(url))))
 
 
+def without_dots(path: Column) -> Column:
+    """A path from its first ``/`` on without ``.`` and ``..`` segments."""
+    parts = F.split(path, "/")
+    last = F.element_at(parts, -1)
+
+    def step(kept: Column, part: Column) -> Column:
+        # The first segment is empty: what lies before the first slash.
+        up = F.slice(kept, F.lit(1), F.greatest(F.size(kept) - 1, F.lit(1)))
+        return F.when(part == ".", kept).when(part == "..", up).otherwise(F.concat(kept, F.array(part)))
+
+    kept = F.aggregate(F.slice(parts, F.lit(2), F.size(parts)), F.array(F.lit("")), step)
+    closed = F.when(last.isin(".", "..") | (F.size(kept) == 1), F.lit("/")).otherwise(F.lit(""))
+    return F.concat(F.array_join(kept, "/"), closed)
+
+
 def target(base: Column, href: Column) -> Column:
-    """The node that a link in a page at node ``base`` leads to."""
+    """The node that a link in a page at node ``base`` leads to; null for what is no page (``mailto:`` and the like)."""
+    href = F.replace(F.btrim(href), F.lit("&amp;"), F.lit("&"))
     authority = F.regexp_extract(base, r"^[^/?#]*", 0)
-    folder = F.regexp_extract(base, r"^[^/?#]*(?:[^?#]*/)?", 0)
+    page = F.regexp_extract(base, r"^[^?#]*", 0)
+    query = F.regexp_extract(base, r"^[^#]*", 0)
+    folder = F.regexp_extract(base, r"^[^/?#]*((?:[^?#]*/)?)", 1)
+    # What is resolved: the path up to a query or fragment, which stay as they are.
+    own = F.regexp_extract(href, r"^[^?#]*", 0)
+    tail = F.substring(href, F.length(own) + 1, F.length(href))
+    path = F.when(own.startswith("/"), own).when(folder == "", F.concat(F.lit("/"), own)).otherwise(F.concat(folder, own))
     return (
-        F.when(F.instr(href, "://") > 0, node(href))
+        F.when(href.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*://"), node(href))
+        .when(href.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*:"), None)
         .when(href.startswith("//"), node(F.concat(F.lit("x:"), href)))
-        .when(href.startswith("/"), F.concat(authority, href))
-        .when(href != "", F.concat(folder, href))
+        .when(href.startswith("?"), F.concat(page, href))
+        .when(href.startswith("#"), F.concat(query, href))
+        .when(href != "", F.concat(authority, without_dots(path), tail))
     )
 
 
@@ -92,14 +117,11 @@ def judge(pages: DataFrame, rules: tuple = RULES) -> DataFrame:
         host(F.col("url")).alias("host"),
         path(F.col("url")).alias("path"),
         node(F.col("url")).alias("node"),
-        F.regexp_extract(html, CANONICAL, 1).alias("canonical"),
-        F.regexp_extract(html, REFRESH, 1).alias("refresh"),
+        F.concat(F.regexp_extract_all(html, F.lit(CANONICAL), 1), F.regexp_extract_all(html, F.lit(REFRESH), 1)).alias("links"),
     )
     read = staged(read, "redirects-pages")
-    links = F.array(
-        canonical(F.col("node")),
-        target(F.col("node"), F.col("canonical")),
-        target(F.col("node"), F.col("refresh")),
+    links = F.concat(
+        F.array(canonical(F.col("node"))), F.transform(F.array_distinct("links"), lambda href: target(F.col("node"), href))
     )
     # A target's own canonical form is its alias, too.
     edges = read.where("node IS NOT NULL").select("node", F.explode(links).alias("to")).where("to IS NOT NULL").distinct()
