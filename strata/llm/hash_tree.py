@@ -10,7 +10,7 @@ weight stays, and one more shard takes rows only into itself.
 
 The law is ``key``: doc_id and the tree decide. Rows with a null doc_id share
 one key. Slots number the rows of a shard from 0 without gaps: rows are
-ranked within (shard, group), where a group is a hash range of doc_id, and a
+ranked within (shard, group), where a group is a hash range of doc_id and text, and a
 small table of group sizes gives each group its first slot. The number of
 groups grows with the rows, so no shard is numbered in one task.
 
@@ -22,10 +22,10 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from strata.llm.common import broadcast_within
+from strata.llm.common import broadcast_within, free
 
 # The layout of the first 24 shards.
 REGIONS, RACKS, SHARDS = 2, 3, 4
@@ -114,21 +114,17 @@ def place(documents: DataFrame, shards: int = 24, grown: bool = False) -> DataFr
     if grown:
         added["grown_shard"] = descend(key, tree(shards + 1)).cast("int")
     groups = 1 + documents.count() // (shards * GROUP_ROWS)
-    group = "_group"
-    while group in documents.columns:
-        group += "_"
-    added[group] = F.pmod(F.xxhash64(F.lit("slot"), key), F.lit(groups)).cast("int")
+    names = free([*documents.columns, *added, "slot"], "_group", "_n", "_s", "_g", "_first", "_rank")
+    group, n, s, g, first, rank = names
+    # Rows of one doc_id are dealt by their text, too.
+    added[group] = F.pmod(F.xxhash64(F.lit("slot"), key, F.crc32(text), F.octet_length(text)), F.lit(groups)).cast("int")
     rows = documents.withColumns(added)
-    sizes = rows.groupBy("shard", group).agg(F.count(F.lit(1)).alias("_n"))
-    offsets = sizes.selectExpr(
-        "shard AS _s", f"{group} AS _g", f"sum(_n) OVER (PARTITION BY shard ORDER BY {group}) - _n AS _first"
-    )
+    sizes = rows.groupBy("shard", group).agg(F.count(F.lit(1)).alias(n))
+    before = F.sum(n).over(Window.partitionBy("shard").orderBy(group)) - F.col(n)
+    offsets = sizes.select(F.col("shard").alias(s), F.col(group).alias(g), before.alias(first))
     offsets = broadcast_within(offsets, shards * groups, MAX_OFFSETS)
     # All columns of doc_id and text order rows that share a doc_id; equal rows are alike in any order.
-    ranked = rows.selectExpr(
-        "*", f"row_number() OVER (PARTITION BY shard, {group} ORDER BY doc_id, text_crc32, size) - 1 AS _rank"
-    )
-    out = ranked.join(offsets, (F.col("shard") == F.col("_s")) & (F.col(group) == F.col("_g")))
-    return out.withColumn("slot", (F.col("_first") + F.col("_rank")).cast("bigint")).drop(
-        "_s", "_g", "_first", "_rank", group
-    )
+    order = Window.partitionBy("shard", group).orderBy("doc_id", "text_crc32", "size")
+    ranked = rows.withColumn(rank, F.row_number().over(order) - 1)
+    out = ranked.join(offsets, (F.col("shard") == F.col(s)) & (F.col(group) == F.col(g)))
+    return out.withColumn("slot", (F.col(first) + F.col(rank)).cast("bigint")).drop(s, g, first, rank, group)

@@ -4,14 +4,14 @@ A source with n documents and a target share s of the mixture gets the mean
 repetition rate ``s * budget / n``. Each document's count is the Poisson
 distribution of that mean, inverted at a number in (0, 1) that a hash of seed and
 doc_id gives: a document has the same count on every run and cluster. Documents are
-exploded by their count and dealt out by the hash of (doc_id, copy), so that the
+exploded by their count and dealt out by the hash of (doc_id, copy, text), so that the
 rows of every source lie everywhere.
 
 The default target weighs a source by ``n ** POWER``: below 1, large sources
 come less often than their size says and small ones more often.
 
 A null source is a source of its own; a null doc_id is one id. Repeated rows
-have the same count. Texts are not looked at. An empty table gives no rows.
+have the same count. Texts only count for the order. An empty table gives no rows.
 Columns of the input named like an added one are replaced.
 """
 
@@ -22,7 +22,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from strata.llm.common import broadcast_within, staged
+from strata.llm.common import broadcast_within, free, staged
 
 POWER = 0.7
 SEED = "mix-1"
@@ -69,18 +69,26 @@ def rates(documents: DataFrame, weights: dict[str, float] | None = None, budget:
 
 
 def mix(
-    documents: DataFrame, weights: dict[str, float] | None = None, budget: int | None = None, seed: str = SEED
+    documents: DataFrame,
+    weights: dict[str, float] | None = None,
+    budget: int | None = None,
+    seed: str = SEED,
+    copy: str = "copy",
+    mean: str = "mean",
 ) -> DataFrame:
-    """``documents`` exploded by count and shuffled, with ``copy`` (from 1) and ``mean`` more."""
+    """``documents`` exploded by count and shuffled, with the columns ``copy`` (from 1) and ``mean`` more."""
     per = rates(documents, weights, budget)
     rows = per.count()
-    per = broadcast_within(
-        per.select(F.col("source").alias("_source"), "mean", F.col("steps").alias("_steps")), rows, MAX_SOURCES
-    )
+    documents = documents.drop(copy, mean)
+    source, steps, count, order = free([*documents.columns, copy, mean], "_source", "_steps", "_count", "_order")
+    per = per.select(F.col("source").alias(source), F.col("mean").alias(mean), F.col("steps").alias(steps))
+    per = broadcast_within(per, rows, MAX_SOURCES)
     u = uniform(seed, F.col("doc_id"))
-    out = documents.drop("copy", "mean").join(per, F.col("source").eqNullSafe(F.col("_source")))
-    out = out.withColumn("_count", F.size(F.filter("_steps", lambda c: c <= u))).where("_count > 0")
-    out = out.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("_count"))))
-    out = out.withColumn("_order", uniform(seed + "-order", F.col("doc_id"), F.col("copy")))
+    out = documents.join(per, F.col("source").eqNullSafe(F.col(source)))
+    out = out.withColumn(count, F.size(F.filter(steps, lambda c: c <= u))).where(F.col(count) > 0)
+    out = out.withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(count))))
+    # Rows of one doc_id are dealt out by their text, too.
+    text = [F.xxhash64("text")] if "text" in documents.columns else []
+    out = out.withColumn(order, uniform(seed + "-order", F.col("doc_id"), F.col(copy), *text))
     parts = int(math.ceil(float(documents.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
-    return out.repartition(parts, "_order").sortWithinPartitions("_order").drop("_source", "_steps", "_count", "_order")
+    return out.repartition(parts, order).sortWithinPartitions(order).drop(source, steps, count, order)
