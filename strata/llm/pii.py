@@ -43,18 +43,40 @@ LOOSE = {
     "email": rf"(?i)(?:(?<![{_LOCAL}])|\G)[{_LOCAL}]++\x20?[\[(]at[\])]\x20?[A-Za-z0-9-]++(?:(?:\.|\x20?[\[(]dot[\])]\x20?)[A-Za-z0-9-]++)++",
     "ip": r"(?:(?<![0-9])|\G)[0-9]{1,3}+(?:\[\.\][0-9]{1,3}+){3}",
     "card": r"(?:(?<![0-9])|\G)[0-9]{4}(?:[\x20-][0-9]{4}){3}(?![0-9])",
-    "phone": r"(?:(?<![0-9+])|\G)\(?[0-9]{3}\)?[\x20.-][0-9]{3}[\x20.-][0-9]{4}(?![0-9])",
+    "phone": r"(?:(?<![0-9+])|\G)(?:\(?[0-9]{3}\)?[\x20.-][0-9]{3}[\x20.-][0-9]{4}|0[0-9](?:[\x20./-][0-9]{2}){4}"
+    r"|0[0-9]{2,4}[\x20/-][0-9]{5,8})(?![0-9])",
 }
 # A text without these has no loose candidate of the kind.
-LOOSE_NEEDS = {"email": r"(?i)[\[(]at[\])]", "ip": r"\[\.\]", "card": r"[0-9]{4}[\x20-][0-9]{4}", "phone": r"[0-9][\x20.-][0-9]{4}"}
-CUES = {
-    "email": r"(?i)(?:e-?mail|mail|contact|write to|reach)",
-    "ip": r"(?i)(?:\bip\b|server|host|address|client)",
-    "card": r"(?i)(?:card|visa|mastercard|credit|debit|account)",
-    "phone": r"(?i)(?:phone|tel|call|fax|mobile|cell|contact)",
+LOOSE_NEEDS = {"email": r"(?i)[\[(]at[\])]", "ip": r"\[\.\]", "card": r"[0-9]{4}[\x20-][0-9]{4}", "phone": r"[0-9][\x20./-][0-9]{2}"}
+# Words of English, German, French and Spanish that stand before a kind, or before other numbers.
+CUE_WORDS = {
+    "email": "e-mail email mail contact write reach address inbox newsletter kontakt schreiben adresse courriel contacter"
+    " écrire correo contacto escribir dirección",
+    "ip": "ip server host address client gateway router dns ping port localhost adresse rechner netz serveur hôte passerelle"
+    " servidor dirección equipo",
+    "card": "card visa mastercard amex maestro credit debit account payment pay kreditkarte karte konto zahlung carte"
+    " bancaire compte paiement tarjeta cuenta pago",
+    "phone": "phone telephone tel call fax mobile cell hotline whatsapp contact telefon anruf handy mobil rufnummer téléphone"
+    " portable appeler teléfono móvil llamar",
 }
-OTHER_CUES = r"(?i)(?:version|isbn|order|invoice|build|section|article|serial|\bid\b)"
-TOP_DOMAINS = ("com", "org", "net", "edu", "gov", "info", "io", "de", "fr", "es", "uk", "eu")
+OTHER_WORDS = (
+    "version isbn issn doi order invoice build section article serial id part model release patch chapter page figure"
+    " ticket tracking reference bestellung rechnung artikel seite kapitel commande facture chapitre référence pedido"
+    " factura capítulo página referencia"
+)
+# The generic top-level domains of RFC 920 and RFC 1591 and the commonest later ones. Two letters are
+# a country code by the rule of ISO 3166.
+TOP_DOMAINS = ("com", "org", "net", "edu", "gov", "mil", "int", "arpa", "info", "biz", "name", "pro", "aero", "coop", "museum")
+TOP_DOMAINS += ("jobs", "mobi", "travel", "tel", "cat", "asia", "post", "xxx", "app", "dev", "xyz", "online", "site", "shop", "club")
+
+
+def _any_of(words: str) -> str:
+    """A pattern for any of some words, in either case, as a whole word or a word's beginning."""
+    return r"(?iu)(?<![\p{L}\p{N}])(?:" + "|".join(words.split()) + ")"
+
+
+CUES = {kind: _any_of(words) for kind, words in CUE_WORDS.items()}
+OTHER_CUES = _any_of(OTHER_WORDS)
 VOTES = ("strict", "cue", "touch", "other", "shape")
 # Characters before a candidate that a cue may stand in.
 REACH = 32
@@ -114,7 +136,8 @@ def _holds(kind: str, value: Column) -> Column:
 
 def _shape(kind: str, value: Column) -> Column:
     if kind == "email":
-        return F.lower(F.regexp_extract(value, r"([A-Za-z0-9-]+)$", 1)).isin(*TOP_DOMAINS)
+        top = F.lower(F.regexp_extract(value, r"([A-Za-z0-9-]+)$", 1))
+        return top.isin(*TOP_DOMAINS) | top.rlike("^[a-z]{2}$")
     if kind == "ip":
         return ~value.rlike(r"(?:^|[^0-9])0[0-9]")
     if kind == "card":
