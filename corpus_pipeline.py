@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from strata.llm import decontam, hash_tree, minhash, poisson_mix, toxicity
-from strata.llm.common import load, staged
+from strata.llm.common import free, load, staged
 
 SHARDS = 24
 
@@ -32,7 +32,8 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents repeated or left out so that sources come near their target weights."""
-    return poisson_mix.mix(docs).select(*docs.columns)
+    copy, mean = free(docs.columns, "copy", "mean")
+    return poisson_mix.mix(docs, copy=copy, mean=mean).select(*docs.columns)
 
 
 def assign_shards(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
