@@ -42,7 +42,7 @@ from strata.sources.tables import (
 from strata.streaming.batches import BatchTable
 
 # Fixed values of the landed rows: cycles of a run, files of an upload, the date between two drops.
-CYCLES, FILES, SPLIT = 500, 8, "1998-01-01"
+CYCLES, FILES, SPLIT = 2000, 8, "1998-01-01"
 
 
 # --- run metrics as JSON -----------------------------------------------------------------------
@@ -294,7 +294,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 _CYCLES = """
 cycles AS (
-  SELECT 'run-' || CAST(event_id // 500 AS VARCHAR) AS run, event_id % 500 + 1 AS cycle,
+  SELECT 'run-' || CAST(event_id // 2000 AS VARCHAR) AS run, event_id % 2000 + 1 AS cycle,
          CASE WHEN user_id % 10 = 0 AND event_type <> 'signup'
            THEN CASE event_id % 3 WHEN 0 THEN 'reset' WHEN 1 THEN 'seed' ELSE 'verify' END END AS phase,
          CAST(floor(value) AS BIGINT) AS reset
