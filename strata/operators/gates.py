@@ -67,38 +67,31 @@ def gate_summary(
     """``group_by + [metric, min, max, p50, under_limit, passed_runs, all_pass]``."""
     group_by = list(group_by or [])
     gates = gates or DEFAULT_GATES
-    passed = F.col("outcome") == PASS
-    entries = F.array(
-        *[
-            F.struct(
-                F.lit(name).alias("metric"),
-                F.when(passed, F.col(column).cast("double")).alias("duration"),
-                F.lit(float(limit)).alias("limit"),
-                F.coalesce(passed, F.lit(False)).alias("passed"),
-            )
-            for name, (column, limit) in gates.items()
-        ]
+    passed = f"coalesce(outcome = '{PASS}', false)"
+    entries = ", ".join(
+        f"named_struct('metric', '{name}', 'duration', IF({passed}, CAST(`{column}` AS DOUBLE), NULL),"
+        f" 'limit', {float(limit)}D, 'passed', {passed})"
+        for name, (column, limit) in gates.items()
     )
     # A group without a passing run stays: its durations are null.
-    stacked = runs.select(*group_by, F.inline(entries))
-    zero = F.lit(0.0)
+    groups = [f"`{c}`" for c in group_by]
+    stacked = runs.selectExpr(*groups, f"inline(array({entries}))")
     figures = {
-        "min": F.coalesce(F.min("duration"), zero),
-        "max": F.coalesce(F.max("duration"), zero),
-        "under_limit": F.count_if(F.col("duration") < F.col("limit")),
-        "passed_runs": F.count_if("passed"),
+        "min": "coalesce(min(duration), 0.0D)",
+        "max": "coalesce(max(duration), 0.0D)",
+        "under_limit": "count_if(duration < limit)",
+        "passed_runs": "count_if(passed)",
     }
-    keys = [*group_by, "metric"]
-    out = exact_median(stacked, keys, "duration", alias="p50", more=figures)
-    all_pass = (F.col("under_limit") == F.col("passed_runs")) & (F.col("passed_runs") > 0)
-    return out.select(
-        *keys,
+    out = exact_median(stacked, [*group_by, "metric"], "duration", alias="p50", more=figures)
+    return out.selectExpr(
+        *groups,
+        "metric",
         "min",
         "max",
-        F.coalesce("p50", zero).alias("p50"),
+        "coalesce(p50, 0.0D) AS p50",
         "under_limit",
         "passed_runs",
-        all_pass.alias("all_pass"),
+        "under_limit = passed_runs AND passed_runs > 0 AS all_pass",
     )
 
 
