@@ -1,5 +1,6 @@
 """Packing: an exact round trip through the sequences, and the curve's own laws."""
 
+import functools
 import random
 import zlib
 
@@ -24,9 +25,13 @@ def texts(seed, n):
     return out + out[:40]
 
 
+@functools.cache
+def tokenizer():
+    return Tokenizer.from_file(PATH)
+
+
 def expected(text):
-    tokenizer = Tokenizer.from_file(PATH)
-    return tokenizer.encode(text or "", add_special_tokens=False).ids + [2]
+    return tokenizer().encode(text or "", add_special_tokens=False).ids + [2]
 
 
 @pytest.mark.parametrize("piece, known", [(4 << 20, 1 << 20), (700, 50)])
@@ -95,9 +100,9 @@ def test_whole_texts_where_words_have_no_suffix():
     data = np.frombuffer("".join(some).encode(), np.uint8)
     offsets = np.cumsum([0] + [len(t.encode()) for t in some])
     ids, sizes = encoder.texts(data, offsets)
-    tokenizer = Tokenizer.from_file(path)
+    whole = Tokenizer.from_file(path)
     assert not encoder.by_words
-    assert list(ids) == [i for t in some for i in tokenizer.encode(t, add_special_tokens=False).ids]
+    assert list(ids) == [i for t in some for i in whole.encode(t, add_special_tokens=False).ids]
     assert sizes[1] == 0
 
 
