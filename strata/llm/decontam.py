@@ -12,6 +12,8 @@ words in it, while chance hits and short common phrases are not.
 Everything is DataFrame code: positions are exploded and hashed within one
 generated stage, and the seeds of the benchmark, counted first, are broadcast;
 beyond ``MAX_SEEDS`` they are joined by shuffle, without the words. Documents are whole.
+A hit keeps only the words that its item is laid over, and hits of one alignment become
+one in the stage that finds them, so no text is held once for each hit in it.
 
 Items with fewer words than the shortest mask covers are hits where a document holds
 all their words in order; items of just as many words have a seed for each word
@@ -75,14 +77,20 @@ def _exploded(df: DataFrame, hashes: str, at: str, shortest: int, seeds: list[Co
     return df.withColumn("seed", F.explode(F.array(*seeds))).where("seed IS NOT NULL")
 
 
-def _best(doc: Column, item: Column, shift: Column) -> Column:
-    """The best-scoring stretch of the item laid over the document from ``shift`` on: (score, first, end)."""
+def _laid_over(doc: Column, shift: Column, length: Column) -> Column:
+    """The words of the document that an item of ``length`` words is laid over from ``shift`` on; before the first there are none."""
+    return F.slice(doc, F.greatest(shift, F.lit(0)) + 1, length + F.least(shift, F.lit(0)))
+
+
+def _best(over: Column, item: Column, shift: Column) -> Column:
+    """The best-scoring stretch of the item over the words under it (from ``shift`` on): (score, first, end)."""
+    before = F.least(shift, F.lit(0))
     none = F.struct(
         F.lit(0).alias("now"), F.lit(0).alias("begin"), F.lit(0).alias("best"), F.lit(0).alias("first"), F.lit(0).alias("end")
     )
 
     def step(s: Column, j: Column) -> Column:
-        value = F.when(F.get(doc, shift + j) == F.get(item, j), F.lit(1)).otherwise(F.lit(SUBSTITUTION))
+        value = F.when(F.get(over, before + j) == F.get(item, j), F.lit(1)).otherwise(F.lit(SUBSTITUTION))
         now = F.greatest(F.lit(0), s["now"] + value)
         begin = F.when(s["now"] == 0, j).otherwise(s["begin"])
         more = now > s["best"]
@@ -109,8 +117,9 @@ def overlaps(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
     seeds = staged(seeds.select("seed", "item_id", "item", "j"), "decontam-seeds")
     n = seeds.count()
     n_words = items.agg(F.sum(F.size("item"))).first()[0] or 0
-    seeds = broadcast_within(seeds.select("seed", F.col("item_id").alias("of"), "j", F.hash("item").alias("text_no")), n, MAX_SEEDS)
     # An item_id may come with several texts; each is held by its own words.
+    text = [F.hash("item").alias("text_no"), F.size("item").alias("length")]
+    seeds = broadcast_within(seeds.select("seed", F.col("item_id").alias("of"), "j", *text), n, MAX_SEEDS)
     items = broadcast_within(
         items.select("item_id", "item", F.hash("item").alias("item_no")), n_words, MAX_SEEDS
     )
@@ -124,16 +133,20 @@ def overlaps(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
     else:
         # Seeds travel without the words; these come back for what was hit.
         small = looked.select("doc_id", "doc_no", "i", "seed")
-        hits = small.join(seeds, "seed").select("doc_id", "doc_no", "of", "text_no", (F.col("i") - F.col("j")).alias("shift"))
+        shift = (F.col("i") - F.col("j")).alias("shift")
+        hits = small.join(seeds, "seed").select("doc_id", "doc_no", "of", "text_no", "length", shift)
         back = docs.select(F.col("doc_id").alias("back_id"), F.col("doc_no").alias("back_no"), "doc")
         same = (F.col("doc_id") == F.col("back_id")) & (F.col("doc_no") == F.col("back_no"))
         hits = hits.distinct().join(back, same)
-    hits = hits.join(items, (F.col("of") == F.col("item_id")) & (F.col("text_no") == F.col("item_no")))
+    # One row for each alignment is enough, and the best alignment speaks for the pair.
+    over = _laid_over(F.col("doc"), F.col("shift"), F.col("length")).alias("over")
+    hits = hits.select("doc_id", "of", "text_no", "length", "shift", over).distinct()
+    same_text = (F.col("text_no") == F.col("item_no")) & (F.col("length") == F.size("item"))
+    hits = hits.join(items, (F.col("of") == F.col("item_id")) & same_text)
     found = hits.select(
-        "doc_id", "item_id", "shift", F.size("item").alias("length"),
-        _best(F.col("doc"), F.col("item"), F.col("shift")).alias("s"),
+        "doc_id", "item_id", "shift", "length",
+        _best(F.col("over"), F.col("item"), F.col("shift")).alias("s"),
     )
-    # One row for each alignment is enough, and the best alignment speaks for the pair.
     least = F.when(F.col("length") < SHORTEST, F.col("length")).otherwise(F.least(F.lit(MIN_SCORE), F.col("length") - 3))
     good = found.where(F.col("s.best") >= least)
     best = good.groupBy("doc_id", "item_id").agg(
